@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from veldra.llm.leakage import leak_report, leaked_items
+from veldra.llm.neardup import NearDuplicates
 from veldra.tables import table
 
 
@@ -19,7 +20,21 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return leak_report(leaked_items(table(spark, d, "documents"), items), items)
 
 
+def _near(spark: SparkSession, d: str) -> NearDuplicates:
+    return NearDuplicates(table(spark, d, "chunks"), "chunk_id", "text")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _near(spark, d).record_pairs().select(F.col("a").alias("chunk_a"), F.col("b").alias("chunk_b"))
+
+
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    return _near(spark, d).groups().withColumnRenamed("id", "chunk_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p5_found": p5_found,
+    "p5_groups": p5_groups,
     "p8_found": p8_found,
     "p8_report": p8_report,
 }
@@ -34,6 +49,17 @@ words AS (
 )"""
 
 SQL: dict[str, str] = {
+    "p5_found": """
+WITH words AS (
+  SELECT DISTINCT chunk_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)) AS w
+  FROM chunks WHERE chunk_id IS NOT NULL AND text IS NOT NULL
+), sets AS (
+  SELECT chunk_id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s
+  FROM words WHERE len(w) >= 20
+), runs AS (SELECT chunk_id, len(s) AS n, unnest(s) AS run FROM sets),
+shared AS (SELECT a.chunk_id AS chunk_a, b.chunk_id AS chunk_b, a.n AS n_a, b.n AS n_b, count(*) AS c
+  FROM runs a JOIN runs b ON a.run = b.run AND a.chunk_id < b.chunk_id GROUP BY ALL)
+SELECT DISTINCT chunk_a, chunk_b FROM shared WHERE c / (n_a + n_b - c) >= 0.6 - 1e-12""",
     "p8_found": f"""
 WITH d AS (WITH {_RUNS_12.format(id="doc_id", table="documents", name="r")} SELECT * FROM r),
      b AS (WITH {_RUNS_12.format(id="item_id", table="benchmark", name="r")} SELECT * FROM r)

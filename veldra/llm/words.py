@@ -50,8 +50,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def string_parts(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Cut a string column into runs of rows of about ``most`` bytes.
+def string_parts(column: pa.Array, most: int = 1 << 20, rows: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Cut a string column into runs of at most ``rows`` rows and about ``most`` bytes.
 
     Gives (first row, rows, bytes, offsets from 0). A null is an empty text; a text
     longer than ``most`` makes a run of its own.
@@ -68,7 +68,7 @@ def string_parts(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, i
     row = 0
     while row < n:
         end = int(np.searchsorted(offsets, offsets[row] + most, "right")) - 1
-        end = min(n, max(row + 1, end))
+        end = min(n, row + rows, max(row + 1, end))
         yield row, end - row, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end
 
