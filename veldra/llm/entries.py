@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from veldra.llm.leakage import leak_report, leaked_items
 from veldra.llm.neardup import NearDuplicates
+from veldra.llm.neighbours import Neighbours
 from veldra.tables import table
 
 
@@ -20,6 +21,18 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return leak_report(leaked_items(table(spark, d, "documents"), items), items)
 
 
+def _neighbours(spark: SparkSession, d: str) -> Neighbours:
+    return Neighbours(table(spark, d, "chunks"), "chunk_id", "dense")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _neighbours(spark, d).mutual(0.90).select(F.col("a").alias("chunk_a"), F.col("b").alias("chunk_b"))
+
+
+def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return _neighbours(spark, d).lists().withColumnRenamed("id", "chunk_id")
+
+
 def _near(spark: SparkSession, d: str) -> NearDuplicates:
     return NearDuplicates(table(spark, d, "chunks"), "chunk_id", "text")
 
@@ -33,6 +46,8 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_neighbours": p1_neighbours,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
     "p8_found": p8_found,
@@ -49,6 +64,17 @@ words AS (
 )"""
 
 SQL: dict[str, str] = {
+    "p1_found": """
+WITH v AS (
+  SELECT DISTINCT chunk_id, dense::DOUBLE[64] AS x FROM chunks
+  WHERE chunk_id IS NOT NULL AND len(dense) = 64 AND list_sum(list_transform(dense, lambda y: y::DOUBLE * y)) > 0
+), pairs AS (
+  SELECT a.chunk_id AS q, b.chunk_id AS n, array_cosine_similarity(a.x, b.x) AS c
+  FROM v a JOIN v b ON a.chunk_id <> b.chunk_id
+), best AS (
+  SELECT q, n, c FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY c DESC, n) AS r FROM pairs) WHERE r <= 10
+)
+SELECT a.q AS chunk_a, a.n AS chunk_b FROM best a JOIN best b ON a.q = b.n AND a.n = b.q WHERE a.q < a.n AND a.c >= 0.90""",
     "p5_found": """
 WITH words AS (
   SELECT DISTINCT chunk_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)) AS w
