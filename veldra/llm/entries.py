@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from veldra.llm.conversations import STAND_INS, SPELLINGS, conversations
 from veldra.llm.leakage import leak_report, leaked_items
 from veldra.llm.neardup import NearDuplicates
 from veldra.llm.neighbours import Neighbours
+from veldra.llm.packing import pack, window_fill
+from veldra.llm.splitting import split_items
 from veldra.tables import table
 
 
@@ -33,6 +36,14 @@ def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return _neighbours(spark, d).lists().withColumnRenamed("id", "chunk_id")
 
 
+def p2_conversations(spark: SparkSession, d: str) -> DataFrame:
+    return conversations(table(spark, d, "history"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_conversations(spark, d).select("session_id", "turn_no", "message_id")
+
+
 def _near(spark: SparkSession, d: str) -> NearDuplicates:
     return NearDuplicates(table(spark, d, "chunks"), "chunk_id", "text")
 
@@ -45,11 +56,33 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     return _near(spark, d).groups().withColumnRenamed("id", "chunk_id")
 
 
+def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return split_items(table(spark, d, "chunks"), keep=("section", "page_range"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_pieces(spark, d).filter("piece_no = 1").select("chunk_id").distinct()
+
+
+def p7_windows(spark: SparkSession, d: str) -> DataFrame:
+    return pack(table(spark, d, "documents"))
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    return window_fill(p7_windows(spark, d))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_neighbours": p1_neighbours,
+    "p2_found": p2_found,
+    "p2_conversations": p2_conversations,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
+    "p6_found": p6_found,
+    "p6_pieces": p6_pieces,
+    "p7_windows": p7_windows,
+    "p7_fill": p7_fill,
     "p8_found": p8_found,
     "p8_report": p8_report,
 }
@@ -63,7 +96,37 @@ words AS (
   FROM (SELECT {id}, w, unnest(range(1, len(w) - 10)) AS i FROM words)
 )"""
 
+_BLANK_SQL = r"[\p{Z}\p{Cc}\p{Cf}\x{115F}\x{1160}\x{3164}\x{FFA0}\x{2800}]"
+
+
+def _quoted(words: tuple[str, ...]) -> str:
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+
+
+_CONVERSATIONS = f"""
+WITH r AS (
+  SELECT DISTINCT session_id, message_id, content, timestamp AS time, regexp_replace(lower(coalesce(role, '')), '[^a-z]', '', 'g') AS role
+  FROM history WHERE session_id IS NOT NULL AND regexp_replace(session_id, '{_BLANK_SQL}', '', 'g') <> ''
+), s AS (
+  SELECT *, CASE {" ".join(f"WHEN role IN ({_quoted(names)}) THEN '{who}'" for who, names in SPELLINGS.items())} ELSE 'unknown' END AS speaker,
+    regexp_replace(coalesce(content, ''), '^{_BLANK_SQL}+|{_BLANK_SQL}+$', '', 'g') AS said FROM r
+), m AS (
+  SELECT *, lag(speaker) OVER w AS last_speaker, lag(said) OVER w AS last_said FROM s WHERE speaker <> 'helper'
+  WINDOW w AS (PARTITION BY session_id ORDER BY time NULLS FIRST, message_id NULLS FIRST)
+), k AS (
+  SELECT *, row_number() OVER w AS turn_no, count(*) OVER (PARTITION BY session_id) AS n FROM m
+  WHERE last_speaker IS NULL OR last_speaker <> speaker OR last_said <> said
+  WINDOW w AS (PARTITION BY session_id ORDER BY time NULLS FIRST, message_id NULLS FIRST)
+), bad AS (
+  SELECT session_id FROM k
+  WHERE speaker <> CASE WHEN turn_no % 2 = 1 THEN 'user' ELSE 'assistant' END OR n % 2 = 1
+     OR regexp_replace(said, '{_BLANK_SQL}', '', 'g') = '' OR lower(regexp_replace(said, '{_BLANK_SQL}', '', 'g')) IN ({_quoted(STAND_INS)})
+)
+"""
+
 SQL: dict[str, str] = {
+    "p2_found": _CONVERSATIONS + "SELECT session_id, turn_no::INT AS turn_no, message_id FROM k WHERE session_id NOT IN (FROM bad)",
+    "p2_conversations": _CONVERSATIONS + "SELECT session_id, turn_no::INT AS turn_no, message_id, speaker, content FROM k WHERE session_id NOT IN (FROM bad)",
     "p1_found": """
 WITH v AS (
   SELECT DISTINCT chunk_id, dense::DOUBLE[64] AS x FROM chunks
@@ -86,6 +149,9 @@ WITH words AS (
 shared AS (SELECT a.chunk_id AS chunk_a, b.chunk_id AS chunk_b, a.n AS n_a, b.n AS n_b, count(*) AS c
   FROM runs a JOIN runs b ON a.run = b.run AND a.chunk_id < b.chunk_id GROUP BY ALL)
 SELECT DISTINCT chunk_a, chunk_b FROM shared WHERE c / (n_a + n_b - c) >= 0.6 - 1e-12""",
+    "p6_found": r"""
+SELECT DISTINCT chunk_id FROM chunks
+WHERE len(regexp_extract_all(text, '[^\s\p{Z}\x{0B}\x{1C}-\x{1F}\x{85}]+')) > 650""",
     "p8_found": f"""
 WITH d AS (WITH {_RUNS_12.format(id="doc_id", table="documents", name="r")} SELECT * FROM r),
      b AS (WITH {_RUNS_12.format(id="item_id", table="benchmark", name="r")} SELECT * FROM r)
