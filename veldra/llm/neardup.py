@@ -28,13 +28,15 @@ from veldra.storage import stage
 RUN = 3
 LEAST_WORDS = 20
 THRESHOLD = 0.60
-ROWS = 4
+ROWS = 5
 MISS = 0.005
 #: Longs of a sketch.
 LONGS = 8
 #: A candidate is verified if its estimate is at most so far below the threshold:
 #: about four standard deviations of the estimate of a pair at the threshold.
 MARGIN = 0.25
+#: Sets that a task remembers, to send the signature of copies once.
+SEEN = 500_000
 #: Keys up to which a set of class ids is broadcast (8 bytes each).
 BROADCAST_KEYS = 2_000_000
 
@@ -66,11 +68,18 @@ def _sets(words: np.ndarray, firsts: np.ndarray, run: int, least: int) -> tuple[
     return text[begin], begin, key & _HASH_MASK
 
 
+def _lists(values: np.ndarray, sizes: np.ndarray, kept: np.ndarray) -> pa.ListArray:
+    """Lists of the given sizes, empty where not kept."""
+    ends = np.concatenate([[0], np.cumsum(np.where(kept, sizes, 0))]).astype(np.int32)
+    return pa.ListArray.from_arrays(ends, pa.array(values[np.repeat(kept, sizes)]))
+
+
 def _signatures(run: int, least: int, bands: int, rows: int):
     a, b = _coefficients(bands * rows)
     names = ["id", "set_id", "size", *(f"s{i}" for i in range(LONGS)), "bands", "runs"]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             ids = batch.column(0)
             for row, _, data, offsets in string_parts(batch.column(1), 1 << 18, 4096):
@@ -81,6 +90,10 @@ def _signatures(run: int, least: int, bands: int, rows: int):
                     continue
                 size = np.diff(np.append(begin, len(x)))
                 set_id = mix(np.add.reduceat(mix(x), begin) + size.astype(np.uint64))
+                # A copy of a set that this task has met needs no signature again.
+                known = np.fromiter((i in seen or seen.add(i) is not None for i in set_id.tolist()), bool, n)
+                if len(seen) > SEEN:
+                    seen.clear()
                 keys = np.empty((n, bands), np.uint64)
                 sketch = np.zeros((n, LONGS), np.uint64)
                 each = np.arange(n)
@@ -95,8 +108,7 @@ def _signatures(run: int, least: int, bands: int, rows: int):
                     keys[:, band] = key
                 yield pa.RecordBatch.from_arrays(
                     [ids.take(pa.array(row + text)), pa.array(set_id.view(np.int64)), pa.array(size.astype(np.int32)), *(pa.array(sketch[:, i].copy().view(np.int64)) for i in range(LONGS)),
-                     pa.ListArray.from_arrays(np.arange(0, n * bands + 1, bands, dtype=np.int32), pa.array(keys.ravel().view(np.int64))),
-                     pa.ListArray.from_arrays(np.append(begin, len(x)).astype(np.int32), pa.array((x & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)))],
+                     _lists(keys.ravel().view(np.int64), np.full(n, bands), ~known), _lists((x & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32), size, ~known)],
                     names,
                 )
 
@@ -122,9 +134,8 @@ class NearDuplicates:
         made = stage(rows_in.mapInArrow(_signatures(run, least_words, bands, rows), schema), "signatures")
         self.members = made.select("id", "set_id").distinct()
         sketches = [f"s{i}" for i in range(LONGS)]
-        # One row for each class; the classes' rows go to the other side of the joins as well.
-        classes = made.select("set_id", "size", *sketches, "bands").dropDuplicates(["set_id"])
-        keyed = classes.select(F.explode("bands").alias("band"), "set_id")
+        # One exchange by band serves both sides of the join and drops what is left of the copies.
+        keyed = made.select(F.explode("bands").alias("band"), "set_id").repartition("band").dropDuplicates(["band", "set_id"])
         meet = keyed.alias("a").join(keyed.alias("b"), F.expr("a.band = b.band and a.set_id < b.set_id"))
         meet = meet.select(F.col("a.set_id").alias("set_a"), F.col("b.set_id").alias("set_b")).distinct()
         # The estimate of odd sketches: n bits, k samples, d bits that differ.
@@ -139,7 +150,7 @@ class NearDuplicates:
         ids = self.candidates.select(F.col("set_a").alias("set_id")).unionByName(self.candidates.select(F.col("set_b").alias("set_id"))).distinct()
         if self.candidates.count() * 2 <= BROADCAST_KEYS:
             ids = F.broadcast(ids)
-        runs = made.select("set_id", "runs").join(ids, "set_id", "left_semi").dropDuplicates(["set_id"])
+        runs = made.select("set_id", "runs").filter(F.size("runs") > 0).join(ids, "set_id", "left_semi").dropDuplicates(["set_id"])
         both = self.candidates
         for side in "ab":
             both = both.join(runs.select(F.col("set_id").alias(f"set_{side}"), F.col("runs").alias(f"runs_{side}")), f"set_{side}")
