@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from veldra.llm.abuse import abuse_rates, abuse_scores
 from veldra.llm.conversations import STAND_INS, SPELLINGS, conversations
 from veldra.llm.leakage import leak_report, leaked_items
 from veldra.llm.neardup import NearDuplicates
@@ -72,6 +73,18 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return window_fill(p7_windows(spark, d))
 
 
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    return abuse_scores(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_scores(spark, d).filter("abusive").select("doc_id").distinct()
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse_rates(p9_scores(spark, d))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_neighbours": p1_neighbours,
@@ -85,6 +98,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_fill": p7_fill,
     "p8_found": p8_found,
     "p8_report": p8_report,
+    "p9_found": p9_found,
+    "p9_scores": p9_scores,
+    "p9_rates": p9_rates,
 }
 
 _RUNS_12 = """

@@ -73,13 +73,16 @@ def string_parts(column: pa.Array, most: int = 1 << 20, rows: int = 1 << 20) ->
         row = end
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of every word, index of the first word of each text and one past the last, start byte, end byte)."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: np.ndarray = _FOLD) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of every word, index of the first word of each text and one past the last, start byte, end byte).
+
+    ``fold`` says as what each byte counts in a word, 0 if it ends one.
+    """
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), none, none
-    folded = _FOLD[data]
+    folded = fold[data]
     inside = folded != 0
     edge = np.zeros(n, bool)
     edge[offsets[:-1][offsets[:-1] < n]] = True
