@@ -140,7 +140,8 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_c
     granted = held.groupBy("task").agg(F.sum("held").alias("task_held"))
     before = Window.partitionBy("source").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     past = F.coalesce(F.sum(F.col("share") * F.col("task_held") - F.col("held")).over(before), F.lit(0.0))
-    carried = held.join(granted, "task").join(by_source, "source").select("task", "source", "share", past.alias("carried"))
+    # Staged: as a table of its own it is no second reading of the sizes to the planner.
+    carried = stage(held.join(granted, "task").join(by_source, "source").select("task", "source", "share", past.alias("carried")), "carried")
     # Whole windows of large texts, then the rests, which are items like others.
     parts = F.ceil(F.col("tokens") / capacity).cast("int")
     pieces = counted.select("task", "doc_id", "source", "tokens", F.explode(F.sequence(F.lit(1), parts)).alias("part"))
