@@ -13,7 +13,7 @@
 * The score of a document is the greatest sum of weights in a window of ``WINDOW``
   tokens: one insult with its context, not the length of the text.
 
-The labelled sample is bounded by ``MOST_LABELS`` rows; scoring sees every row and whole
+The labelled sample is bounded by ``MOST_ABUSIVE`` and ``MOST_CLEAN`` rows; scoring sees every row and whole
 texts, and shuffles nothing.
 """
 
@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame, functions as F
 from veldra.llm.packing import clean_source
 from veldra.llm.words import _FOLD, mix, string_parts, word_hashes
 
-#: Labelled documents that the weights are fitted to, at most.
-MOST_LABELS = 20_000
+#: Labelled documents that the weights are fitted to, at most: abusive and clean ones.
+MOST_ABUSIVE, MOST_CLEAN = 2_000, 4_000
 WINDOW = 12
 #: Used as long as there are too few labels to choose one.
 DEFAULT_THRESHOLD = 6.0
@@ -208,7 +208,8 @@ def _pairs(hashes: np.ndarray, firsts: np.ndarray) -> np.ndarray:
 class Lexicon:
     """Weighted terms, the words that are no misspellings, the automaton and the threshold."""
 
-    def __init__(self, texts: list[str], abusive: np.ndarray) -> None:
+    def __init__(self, texts: list[str], abusive: np.ndarray, one_of: tuple[float, float] = (1.0, 1.0)) -> None:
+        """``one_of``: how many labelled documents stand behind a clean one and behind an abusive one of the sample."""
         self.terms = frozenset(STRONG) | frozenset(WEAK)
         self.automaton = Automaton(sorted(self.terms))
         self.known = np.zeros(0, np.uint64)
@@ -253,8 +254,9 @@ class Lexicon:
                 self.kind, self.weight = weigh(~own)
                 scores[own] = self._scores(words, pairs, text, len(abusive))[own]
             order = np.argsort(-scores, kind="stable")
-            hit = np.cumsum(abusive[order])
-            f1 = 2 * hit / (np.arange(1, len(order) + 1) + n_abusive)
+            stands = np.where(abusive, one_of[1], one_of[0])[order]
+            hit = np.cumsum(abusive[order] * stands)
+            f1 = 2 * hit / (np.cumsum(stands) + n_abusive * one_of[1])
             best = int(np.flatnonzero(f1 >= f1.max() - SLACK)[-1])  # judgements may be mistaken
             after = scores[order[best + 1]] if best + 1 < len(order) else 0.0
             # nearer to the clean side: what is abusive in few words scores low
@@ -319,11 +321,14 @@ class Lexicon:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Lexicon:
-    """Weights and threshold from the labelled documents, at most ``MOST_LABELS`` of them (by hash)."""
+    """Weights and threshold from the labelled documents, at most ``MOST_ABUSIVE`` and ``MOST_CLEAN`` of them (by hash)."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("abusive")).filter("id is not null and abusive in (0, 1)").groupBy("id").agg(F.max("abusive").alias("abusive"))
-    known = known.orderBy(F.xxhash64("id"), "id").limit(MOST_LABELS)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null").join(F.broadcast(known), "id").dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").toPandas()
-    return Lexicon(rows["text"].tolist(), rows["abusive"].to_numpy(dtype=np.int64) == 1)
+    sizes = {r["abusive"]: r["n"] for r in known.groupBy("abusive").agg(F.count("*").alias("n")).collect()}
+    most = {0: MOST_CLEAN, 1: MOST_ABUSIVE}
+    parts = [known.filter(F.col("abusive") == a).orderBy(F.xxhash64("id"), "id").limit(n) for a, n in most.items()]
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null").join(F.broadcast(parts[0].unionByName(parts[1])), "id").dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").toPandas()
+    one_of = tuple(max(1.0, sizes.get(a, 0) / n) for a, n in most.items())
+    return Lexicon(rows["text"].tolist(), rows["abusive"].to_numpy(dtype=np.int64) == 1, one_of)
 
 
 def abuse_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
