@@ -12,6 +12,7 @@ from veldra.llm.leakage import leak_report, leaked_items
 from veldra.llm.neardup import NearDuplicates
 from veldra.llm.neighbours import Neighbours
 from veldra.llm.packing import pack, window_fill
+from veldra.llm.scans import ScanRepair
 from veldra.llm.splitting import split_items
 from veldra.tables import table
 
@@ -85,11 +86,25 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
     return abuse_rates(p9_scores(spark, d))
 
 
+def _scans(spark: SparkSession, d: str) -> ScanRepair:
+    return ScanRepair(*(table(spark, d, t) for t in ("pages", "blocks", "parse_results")))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scans(spark, d).faults()
+
+
+def p4_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return _scans(spark, d).paragraphs()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_neighbours": p1_neighbours,
     "p2_found": p2_found,
     "p2_conversations": p2_conversations,
+    "p4_found": p4_found,
+    "p4_paragraphs": p4_paragraphs,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
     "p6_found": p6_found,
