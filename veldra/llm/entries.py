@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from veldra.llm.abuse import abuse_rates, abuse_scores
 from veldra.llm.conversations import STAND_INS, SPELLINGS, conversations
 from veldra.llm.leakage import leak_report, leaked_items
+from veldra.llm.names import Parties
 from veldra.llm.neardup import NearDuplicates
 from veldra.llm.neighbours import Neighbours
 from veldra.llm.packing import pack, window_fill
@@ -98,11 +99,21 @@ def p4_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return _scans(spark, d).paragraphs()
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return Parties(table(spark, d, "g_entity")).pairs()
+
+
+def p3_parties(spark: SparkSession, d: str) -> DataFrame:
+    return Parties(table(spark, d, "g_entity")).members()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_neighbours": p1_neighbours,
     "p2_found": p2_found,
     "p2_conversations": p2_conversations,
+    "p3_found": p3_found,
+    "p3_parties": p3_parties,
     "p4_found": p4_found,
     "p4_paragraphs": p4_paragraphs,
     "p5_found": p5_found,
