@@ -58,7 +58,7 @@ def neighbours(hits: DataFrame, chunks: DataFrame, by: str = "query_id", minus:
     wanted = hits.select(by, "source_file", F.explode(F.array(F.col("chunk_index") - 1, F.col("chunk_index") + 1)).alias("chunk_index"), F.col("id").alias("anchor"), "score", "rank")
     found = wanted.join(chunks.select("source_file", "chunk_index", "chunk_id"), ["source_file", "chunk_index"])
     found = found.join(hits.select(by, F.col("id").alias("chunk_id")), [by, "chunk_id"], "left_anti")
-    return dedup_max(found, [by, "chunk_id"], [F.asc("rank"), F.asc("anchor")]).select(by, "chunk_id", F.round(F.col("score") - minus, 6).alias("score"), "anchor")
+    return dedup_max(found, [by, "chunk_id"], [F.asc("rank"), F.asc("anchor")]).select(by, "chunk_id", F.round(F.col("score") - minus, 8).alias("score"), "anchor")
 
 
 def page_number_key(label: Column) -> Column:

@@ -63,14 +63,14 @@ def sql(hits: str, boost: str) -> dict[str, str]:
     """The same plans for DuckDB over the hits' common tables."""
     strip = r"regexp_replace(coalesce(text, ' '), '^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$', '', 'g')"
     ranked = f"""WITH {hits}, r AS (SELECT *, round(score + {boost}, 8) AS boosted FROM (SELECT *, row_number() OVER (PARTITION BY query_id, md5(lower({strip})) ORDER BY rank) AS dn FROM x) WHERE dn = 1)"""
-    capped = f"p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY boosted DESC, id)::INT AS place FROM {{t}} WHERE boosted >= {LEAST}) WHERE place <= {K})"
+    capped = f"pl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY boosted DESC, id)::INT AS place FROM {{t}} WHERE boosted >= {LEAST}) WHERE place <= {K})"
     return {
-        "retrieve_single": f"{ranked}, {capped.format(t='r')} SELECT query_id, id, place, boosted FROM p",
+        "retrieve_single": f"{ranked}, {capped.format(t='r')} SELECT query_id, id, place, boosted FROM pl",
         "retrieve_few": f"{ranked} SELECT * FROM (SELECT query_id, (rank % 2)::INT AS arm, id, row_number() OVER (PARTITION BY query_id, rank % 2 ORDER BY boosted DESC, id)::INT AS place FROM r) WHERE place <= {K // 2}",
         "retrieve_broad": f"""{ranked}, b AS (SELECT *, max(boosted) OVER (PARTITION BY query_id, source_file) AS best, row_number() OVER (PARTITION BY query_id, source_file ORDER BY boosted DESC, id) AS in_doc FROM r),
 v AS (SELECT * FROM (SELECT *, dense_rank() OVER (PARTITION BY query_id ORDER BY best DESC, source_file)::INT AS doc_rank FROM b) WHERE doc_rank <= 6 AND in_doc <= 4), {capped.format(t='v')}
-SELECT query_id, id, place, doc_rank FROM p""",
-        "assemble_context": f"""{ranked}, {capped.format(t='r')}, f AS (SELECT *, CASE WHEN coalesce(is_table, false) THEN 0 ELSE 1 END AS first FROM p),
+SELECT query_id, id, place, doc_rank FROM pl""",
+        "assemble_context": f"""{ranked}, {capped.format(t='r')}, f AS (SELECT *, CASE WHEN coalesce(is_table, false) THEN 0 ELSE 1 END AS first FROM pl),
 b AS (SELECT *, sum(tokens) OVER w AS running FROM f WINDOW w AS (PARTITION BY query_id ORDER BY first, place)),
 s AS (SELECT *, max(CASE WHEN first = 1 AND running > {BUDGET} THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY first, place) AS stop FROM b)
 SELECT query_id, md5(string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY first, place)) AS block, count(*) AS chunks_used, sum(tokens)::BIGINT AS tokens, count(DISTINCT source_file) AS sources_count FROM s WHERE stop = 0 GROUP BY query_id""",

@@ -159,8 +159,8 @@ SELECT query_id, id, doc_rank, in_doc FROM (SELECT *, dense_rank() OVER (PARTITI
     "token_budget": _budget("query_id", BUDGET),
     "token_budget_arms": _budget("query_id, arm", BUDGET // 2),
     "priority_order": f"WITH {H} SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN coalesce(is_table, false) THEN 0 ELSE 1 END, score DESC, id)::INT AS place FROM x",
-    "source_rollup": f"""WITH {H}, p AS (SELECT DISTINCT query_id, source_file, page_label FROM x WHERE coalesce(page_label, '') <> ''),
-l AS (SELECT query_id, source_file, string_agg(page_label, ',' ORDER BY {_PAGE_ORDER}) AS pages FROM p GROUP BY ALL)
+    "source_rollup": f"""WITH {H}, pg AS (SELECT DISTINCT query_id, source_file, page_label FROM x WHERE coalesce(page_label, '') <> ''),
+l AS (SELECT query_id, source_file, string_agg(page_label, ',' ORDER BY {_PAGE_ORDER}) AS pages FROM pg GROUP BY ALL)
 SELECT n.query_id, n.source_file, coalesce(l.pages, '') AS pages, n.chunks FROM (SELECT query_id, source_file, count(*) AS chunks FROM x GROUP BY ALL) n LEFT JOIN l ON n.query_id = l.query_id AND n.source_file = l.source_file""",
     "retrieval_strength": f"WITH {H} SELECT query_id, round(avg(score), 6) AS strength FROM x WHERE rank <= 3 GROUP BY ALL",
     "context_summary": f"WITH {H} SELECT query_id, coalesce(bool_or(is_table), false) AS has_tables, bool_or(score < 0.35) AS has_weak_match, count(*) AS chunks_used, count(DISTINCT source_file) AS sources_count FROM x GROUP BY ALL",
@@ -170,6 +170,6 @@ SELECT n.query_id, n.source_file, coalesce(l.pages, '') AS pages, n.chunks FROM
     "neighbor_expansion": f"""WITH {H}, w AS (SELECT query_id, source_file, chunk_index + o AS ci, id AS anchor, score, rank FROM x, (VALUES (-1), (1)) v(o)),
 f AS (SELECT w.query_id, c.chunk_id, w.score, w.anchor, row_number() OVER (PARTITION BY w.query_id, c.chunk_id ORDER BY w.rank, w.anchor) AS n FROM w JOIN c ON c.source_file = w.source_file AND c.chunk_index = w.ci
   WHERE NOT EXISTS (FROM x WHERE x.query_id = w.query_id AND x.id = c.chunk_id))
-SELECT query_id, chunk_id, round(score - 0.05, 6) AS score, anchor FROM f WHERE n = 1""",
+SELECT query_id, chunk_id, round(score - 0.05, 8) AS score, anchor FROM f WHERE n = 1""",
     **P.sql(H, BOOST_SQL),
 }
