@@ -8,6 +8,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Queries sent to the executors at once, the most that is broadcast; more take more passes.
 QUERIES_PER_PASS = 2_000
@@ -25,6 +26,7 @@ def dense_topk(base: DataFrame, queries: DataFrame, k: int, id_col: str = "id",
     each, so only those are shuffled. Vectors that are null, empty, all zero or of another
     length than a block's queries don't take part. Scores have 6 decimals, ties go by id.
     """
+    q_type = to_arrow_type(queries.schema[query_col].dataType)
     kinds = dict(base.dtypes)[id_col], dict(queries.dtypes)[query_col]
     wanted = queries.select(F.col(query_col).alias("q"), F.col(vector_col).cast("array<double>").alias("v")).filter((F.size("v") > 0) & F.exists("v", lambda x: x != 0)).distinct()
     total = wanted.count()
@@ -58,7 +60,7 @@ def dense_topk(base: DataFrame, queries: DataFrame, k: int, id_col: str = "id",
                     # Everything from the n-th best score on: ties are settled by id later.
                     least = np.partition(score, score.shape[1] - n, axis=1)[:, score.shape[1] - n]
                     row, col = np.nonzero(score >= least[:, None])
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[r] for r in row]), batch.column("id").take(pa.array(at[col])), pa.array(score[row, col])], ["query_id", "id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[r] for r in row], q_type), batch.column("id").take(pa.array(at[col])), pa.array(score[row, col])], ["query_id", "id", "score"])
 
         parts.append(rows.mapInArrow(search, f"query_id {kinds[1]}, id {kinds[0]}, score double"))
     found = reduce(DataFrame.unionByName, parts)
