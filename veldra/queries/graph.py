@@ -184,7 +184,7 @@ p AS (SELECT a.entity_key, b.entity_key AS other, round(array_cosine_similarity(
 SELECT DISTINCT ON (entity_key) entity_key, other, cosine FROM p WHERE cosine >= 0.85 ORDER BY entity_key, cosine DESC, other""",
     "dual_level_keys": f"WITH {PL}, l AS (SELECT * FROM pl WHERE relation = 'LOCATED_IN') SELECT key, min(pos)::INT AS pos FROM (SELECT src AS key, 0 AS pos FROM l WHERE src <= 'S3' UNION ALL SELECT src, 1 FROM l WHERE confidence >= 0.95 UNION ALL SELECT dst, 2 FROM l WHERE confidence >= 0.95) GROUP BY key",
     "relationship_union": f"WITH {PL} SELECT src, relation, dst FROM pl WHERE confidence >= 0.93 UNION SELECT src, relation, dst FROM pl WHERE count >= 3",
-    "graph_merge": f"""WITH {Q.fused()}, q AS (SELECT chunk_id AS query_id, source_file, chunk_index AS qi FROM c WHERE {Q.QUERY_FILTER}),
+    "graph_merge": f"""WITH {Q.fused()}, q AS (SELECT chunk_id AS query_id, source_file, chunk_index AS qi FROM c WHERE {Q.QUERY_SQL}),
 g AS (SELECT query_id, chunk_id AS id, round(1 / (1 + chunk_index - qi), 6) AS graph_score FROM q JOIN c USING (source_file) WHERE chunk_index BETWEEN qi AND qi + 30 AND chunk_index % 3 = 0)
 SELECT coalesce(h.query_id, g.query_id) AS query_id, coalesce(h.id, g.id) AS id, coalesce(h.score, 0) AS score, coalesce(g.graph_score, 0) AS graph_score,
   CASE WHEN h.id IS NULL THEN 'graph' WHEN g.id IS NULL THEN 'hybrid' ELSE 'hybrid_graph' END AS channel FROM h FULL JOIN g ON h.query_id = g.query_id AND h.id = g.id""",

@@ -8,8 +8,9 @@ from veldra.functions import text as T, vectors as V
 from veldra.operators import search as S
 from veldra.tables import chunks, table
 
-#: Chunks that serve as queries: the first and each hundredth of a file.
-QUERY_FILTER = "chunk_index % 100 = 0"
+#: Chunks that serve as queries, all others being searched as well: those whose id, read as a number, is divisible by 100.
+QUERY_FILTER = "cast(conv(substring(chunk_id, 1, 8), 16, 10) as bigint) % 100 = 0"
+QUERY_SQL = "('0x' || chunk_id[1:8])::BIGINT % 100 = 0"
 
 
 def base(spark: SparkSession, d: str) -> DataFrame:
@@ -71,12 +72,12 @@ _VALID = "len(dense) = {n} AND list_sum(list_transform(dense, lambda y: y::DOUBL
 
 def legs(dense_k: int = 60, sparse_k: int = 40) -> str:
     """SQL of both legs: dl and sl, with c before them."""
-    dims = " UNION ALL ".join(f"SELECT q.chunk_id AS query_id, v.chunk_id AS id, round(array_cosine_similarity(q.dense::DOUBLE[{n}], v.dense::DOUBLE[{n}]), 6) AS score FROM (SELECT * FROM c WHERE {_VALID.format(n=n)} AND {QUERY_FILTER}) q CROSS JOIN (SELECT * FROM c WHERE {_VALID.format(n=n)}) v" for n in (64, 32))
+    dims = " UNION ALL ".join(f"SELECT q.chunk_id AS query_id, v.chunk_id AS id, round(array_cosine_similarity(q.dense::DOUBLE[{n}], v.dense::DOUBLE[{n}]), 6) AS score FROM (SELECT * FROM c WHERE {_VALID.format(n=n)} AND {QUERY_SQL}) q CROSS JOIN (SELECT * FROM c WHERE {_VALID.format(n=n)}) v" for n in (64, 32))
     return f"""{C},
 da AS ({dims}),
 dl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM da) WHERE rank <= {dense_k}),
 p AS (SELECT chunk_id, chunk_index, unnest(map_keys(sparse)) AS term, unnest(map_values(sparse))::DOUBLE AS w FROM c),
-sa AS (SELECT q.chunk_id AS query_id, v.chunk_id AS id, round(sum(q.w * v.w), 6) AS score FROM p q JOIN p v ON q.term = v.term WHERE q.{QUERY_FILTER} GROUP BY ALL),
+sa AS (SELECT q.chunk_id AS query_id, v.chunk_id AS id, round(sum(q.w * v.w), 6) AS score FROM (SELECT * FROM p WHERE {QUERY_SQL}) q JOIN p v ON q.term = v.term GROUP BY ALL),
 sl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sa) WHERE rank <= {sparse_k})"""
 
 
