@@ -34,17 +34,19 @@ def events(spark, d) -> DataFrame:
     return table(spark, d, "events")
 
 
-SEQ = F.struct("ts", "event_id")
+def seq():
+    """Order of the events."""
+    return F.struct("ts", "event_id")
 
 
 def form(spark, d):
     value = F.when(F.col("value") < 20, "n/a").when(F.col("value") < 40, " ").otherwise(F.format_string("v%d", F.floor("value")))
-    return S.fill_form(events(spark, d).withColumn("v", value), "user_id", "event_type", "v", SEQ)
+    return S.fill_form(events(spark, d).withColumn("v", value), "user_id", "event_type", "v", seq())
 
 
 def updates(spark, d):
     """Each user's first event, partially overwritten by the last one."""
-    e = events(spark, d).select("user_id", "event_type", F.when(F.col("value") >= 50, F.round("value", 4)).alias("value"), SEQ.alias("seq"))
+    e = events(spark, d).select("user_id", "event_type", F.when(F.col("value") >= 50, F.round("value", 4)).alias("value"), seq().alias("seq"))
     first = e.groupBy("user_id").agg(F.min_by("event_type", "seq").alias("event_type"), F.min_by("value", "seq").alias("value"))
     last = e.groupBy("user_id").agg(F.max_by("event_type", "seq").alias("event_type"), F.max_by("value", "seq").alias("value")).filter("user_id % 3 = 0")
     return S.partial_update(first, last, "user_id")
@@ -66,8 +68,8 @@ QUERIES = {
     "format_history": formatted,
     "session_rollup": sessions,
     "user_sessions": lambda spark, d: sessions(spark, d).select("session_id", "updated").orderBy(F.desc("updated"), "session_id").limit(100),
-    "metadata_history": lambda spark, d: S.upsert_history(events(spark, d), "user_id", F.col("event_type"), SEQ),
-    "latest_value": lambda spark, d: S.latest(events(spark, d).withColumn("value", F.round("value", 4)), "user_id", "value", SEQ),
+    "metadata_history": lambda spark, d: S.upsert_history(events(spark, d), "user_id", F.col("event_type"), seq()),
+    "latest_value": lambda spark, d: S.latest(events(spark, d).withColumn("value", F.round("value", 4)), "user_id", "value", seq()),
     "partial_update": updates,
     "delete_source": lambda spark, d: S.delete_keys(chunks(spark, d), table(spark, d, "documents_meta").filter("page_count is null or page_count = 0"), "doc_id").select("chunk_id"),
     "form_state_merge": form,
