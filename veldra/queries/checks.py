@@ -71,7 +71,7 @@ def triggers(spark, d):
     """Items that name one of some words, as words."""
     words = ("arrears", "enterprise", "clause", "figures")
     t = F.lower("text")
-    hits = F.array_join(F.filter(F.array(*map(F.lit, words)), lambda w: t.rlike(F.concat(F.lit("(^|[^A-Za-z0-9_])"), w, F.lit("($|[^A-Za-z0-9_])")))), ",")
+    hits = F.array_join(F.filter(F.array(*map(F.lit, words)), lambda w: F.rlike(t, F.concat(F.lit("(^|[^A-Za-z0-9_])"), w, F.lit("($|[^A-Za-z0-9_])")))), ",")
     return table(spark, d, "benchmark").select("item_id", hits.alias("words"))
 
 
