@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from veldra.functions import text as T
@@ -71,10 +74,32 @@ def compare_block(spark, d):
 
 
 def near_dup(spark, d):
-    """Pairs of one fingerprint whose character shingles are alike in 0.85 of all."""
-    c = chunks(spark, d).filter("text is not null and length(text) between 6 and 500").select("chunk_id", "text", T.fingerprint(F.col("text")).alias("f")).withColumn("s", T.shingles(F.lower("text")))
-    pairs = c.alias("a").join(c.alias("b"), F.expr("a.f = b.f and a.chunk_id < b.chunk_id"))
-    return pairs.select(F.col("a.chunk_id").alias("a"), F.col("b.chunk_id").alias("b"), F.round(T.jaccard(F.col("a.s"), F.col("b.s")), 6).alias("similarity")).filter("similarity >= 0.85")
+    """Pairs of one fingerprint whose character shingles are alike in 0.85 of all.
+
+    Texts over 500 characters have shingles of 12, shorter ones of 6; the two kinds have
+    none in common. Shingles are made for the pairs only, so that texts alone are shuffled.
+    """
+    c = chunks(spark, d).filter("length(text) >= 6").select("chunk_id", F.lower("text").alias("t"), T.fingerprint(F.col("text")).alias("f"), F.expr("if(length(text) > 500, 12, 6)").alias("n"))
+    pairs = c.alias("a").join(c.alias("b"), F.expr("a.f = b.f and a.n = b.n and a.chunk_id < b.chunk_id"))
+    pairs = pairs.select(F.col("a.chunk_id").alias("a"), F.col("b.chunk_id").alias("b"), F.col("a.n").alias("n"), F.col("a.t").alias("one"), F.col("b.t").alias("two"))
+
+    def shingles(t: str, n: int) -> set[str]:
+        return {t[i : i + n] for i in range(len(t) - n + 1)}
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out, last = [], None
+            for r in batch.itertuples(index=False):
+                if r.a != last:  # a text's pairs mostly come in a row
+                    last, own = r.a, shingles(r.one, r.n)
+                other = shingles(r.two, r.n)
+                common = len(own & other)
+                similarity = round(common / max(len(own) + len(other) - common, 1), 6)
+                if similarity >= 0.85:
+                    out.append((r.a, r.b, similarity))
+            yield pd.DataFrame(out, columns=["a", "b", "similarity"])
+
+    return pairs.mapInPandas(verify, "a string, b string, similarity double")
 
 
 def containment(spark, d):
