@@ -1,5 +1,6 @@
 """Queries over small tables where a part of the job used to be left out."""
 
+from veldra.llm.leakage import leaked_items
 from veldra.queries import ranking
 
 
@@ -21,3 +22,12 @@ def test_near_dup_of_long_texts(spark, tmp_path):
             if a < b and len(x & y) / len(x | y) >= 0.85:
                 want[a, b] = round(len(x & y) / len(x | y), 6)
     assert got == want and ("a", "b") in want and ("d", "e") in want and ("d", "f") not in want
+
+
+def test_leak_in_the_last_twelve_words(spark):
+    item = [f"i{k}" for k in range(12)]
+    docs = [(length, " ".join([f"d{k}" for k in range(length - 12)] + item)) for length in range(12, 62)]
+    docs.append((100, " ".join([f"d{k}" for k in range(11)] + ["i"] + item)))  # two runs, one of them the last
+    items = [(1, " ".join(item)), (2, " ".join(["i", *item]))]
+    got = {(r.doc_id, r.item_id): r.shared_runs for r in leaked_items(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert got == {(d, i): 1 for d in range(12, 62) for i in (1, 2)} | {(100, 1): 1, (100, 2): 2}

@@ -153,8 +153,10 @@ class ItemIndex:
         begin, item, score = self.search(words, firsts)
         runs = run_hashes(words, RUN)
         text = np.searchsorted(firsts, begin, "right") - 1
-        # The runs that begin in the passage and end in the text; the next passage repeats the last one.
-        end = np.minimum(begin + RUN, firsts[1:][text] - RUN + 1)
+        # The runs that begin in the passage and end in the text. The next passage repeats the last one,
+        # begun at begin + RUN; where it would be the text's last there is no next passage.
+        stop = firsts[1:][text]
+        end = np.minimum(begin + RUN + (begin + PASSAGE == stop), stop - RUN + 1)
         r, at = self._expand(np.arange(len(begin)), begin, np.maximum(end, begin))
         key = mix(runs[at] ^ (item[r].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
         pos = np.searchsorted(self.item_runs, key)
