@@ -1,7 +1,11 @@
 """Queries over small tables where a part of the job used to be left out."""
 
+import difflib
+
+import numpy as np
+
 from veldra.llm.leakage import leaked_items
-from veldra.queries import ranking
+from veldra.queries import graph, ranking
 
 
 def shingle_set(text):
@@ -31,3 +35,24 @@ def test_leak_in_the_last_twelve_words(spark):
     items = [(1, " ".join(item)), (2, " ".join(["i", *item]))]
     got = {(r.doc_id, r.item_id): r.shared_runs for r in leaked_items(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
     assert got == {(d, i): 1 for d in range(12, 62) for i in (1, 2)} | {(100, 1): 1, (100, 2): 2}
+
+
+def test_resolution_across_first_letters(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    names = ["kilo thebuta", "klio thebutta", "beya luthame", "smt beya luthame", "unit 4 beya luthame", "unit 5 beya luthame"]
+    for i in range(150):
+        name = list(names[i % 4] if i % 3 else "".join(rng.choice(list("abcdefgh  "), 14)))
+        for _ in range(rng.integers(1, 5)):
+            name[rng.integers(len(name))] = str(rng.choice(list("aeiklt ")))
+        names.append("".join(name))
+    rows = [(f"k{i}", name, "person" if i < 6 else "firm") for i, name in enumerate(names)]
+    spark.createDataFrame(rows, "entity_key string, name string, type string").write.parquet(f"{tmp_path}/g_entity.parquet")
+    got = {r.entity_key: r.canonical for r in graph.resolution(spark, str(tmp_path)).collect()}
+    want, heads = {}, {}
+    for key, name, kind in sorted(((k, " ".join(n.split()), t) for k, n, t in rows), key=lambda r: (r[1], r[0])):
+        own = heads.setdefault((kind, tuple(c for c in name.split() if c.isdigit())), [])
+        ratio, head = max(((difflib.SequenceMatcher(None, name, h).ratio(), h) for h in own), default=(0.0, ""))
+        if ratio <= 0.85:
+            own.append(head := name)
+        want[key] = head
+    assert got == want and got["k0"] == got["k1"] and got["k2"] == got["k3"] and got["k4"] != got["k5"]

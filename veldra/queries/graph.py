@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
@@ -78,24 +79,69 @@ def semantic(spark, d):
     return R.dedup_max(p, ["entity_key"], [F.desc("cosine"), F.asc("other")])
 
 
+#: Ratio over which two names are one, and how many counts of single and paired letters a name is filed under.
+SAME_NAME, _LETTERS, _PAIRS = 0.85, 64, 192
+
+
+class _Heads:
+    """First names, looked up by exact bounds before they are compared.
+
+    A ratio over ``SAME_NAME`` leaves fewer than (1 - SAME_NAME) times both lengths in
+    insertions and deletions. Each changes the counts of letters by 1 and those of pairs of
+    letters by 3 at most, so names whose counts differ by more can't be that alike; counts
+    that share a place or are cut at 255 only differ less.
+    """
+
+    def __init__(self, most: int) -> None:
+        self.names: list[str] = []
+        self.counts = np.zeros((_LETTERS + _PAIRS, most), np.uint8)
+        self.length, self.letters, self.pairs = (np.zeros(most, np.int64) for _ in range(3))
+
+    @staticmethod
+    def _counts(name: str) -> np.ndarray:
+        o = np.array([ord(c) for c in name], np.int64)
+        at = np.concatenate([o % _LETTERS, _LETTERS + (o[:-1] * 31 + o[1:]) % _PAIRS])
+        return np.minimum(np.bincount(at, minlength=_LETTERS + _PAIRS), 255)
+
+    def find(self, name: str) -> tuple[float, str]:
+        """The greatest (ratio, head) of the heads that can be over ``SAME_NAME``."""
+        n, own = len(self.names), self._counts(name)
+        left = (1 - SAME_NAME) * (self.length[:n] + len(name)) + 1e-6
+        near = np.abs(self.length[:n] - len(name)) <= left
+        for lo, hi, total, changed in ((0, _LETTERS, self.letters, 1), (_LETTERS, _LETTERS + _PAIRS, self.pairs, 3)):
+            at = np.flatnonzero(near)
+            common = np.zeros(len(at), np.int64)
+            for k in lo + np.flatnonzero(own[lo:hi]):
+                common += np.minimum(self.counts[k, at], own[k])
+            near[at] = total[at] + own[lo:hi].sum() - 2 * common <= changed * left[at]
+        heads = (self.names[k] for k in np.flatnonzero(near))
+        return max(((difflib.SequenceMatcher(None, name, h).ratio(), h) for h in heads), default=(0.0, ""))
+
+    def add(self, name: str) -> None:
+        n, own = len(self.names), self._counts(name)
+        self.counts[:, n] = own
+        self.length[n], self.letters[n], self.pairs[n] = len(name), own[:_LETTERS].sum(), own[_LETTERS:].sum()
+        self.names.append(name)
+
+
 def resolution(spark, d):
-    """Greedy resolution: names of one type, number signature and first letter go to the first like one (ratio over 0.85)."""
+    """Greedy resolution: names of one type and number signature go to the first like one (ratio over 0.85)."""
     e = entities(spark, d).select("entity_key", F.upper(F.coalesce("type", F.lit(""))).alias("type"), T.normalize_name(F.col("name")).alias("norm")).filter("norm <> ''")
-    e = e.withColumn("numbers", F.array_join(F.regexp_extract_all("norm", F.lit("([0-9]+)"), F.lit(1)), "|")).withColumn("block", F.substring("norm", 1, 2))
+    e = e.withColumn("numbers", F.array_join(F.regexp_extract_all("norm", F.lit("([0-9]+)"), F.lit(1)), "|"))
 
     def greedy(own: pd.DataFrame) -> pd.DataFrame:
-        heads: list[str] = []
-        out = []
-        for key, norm in own.sort_values(["norm", "entity_key"])[["entity_key", "norm"]].itertuples(index=False):
-            best = max(((difflib.SequenceMatcher(None, norm, h).ratio(), h) for h in heads), default=(0.0, ""))
-            if best[0] > 0.85:
-                out.append((key, best[1]))
+        names = sorted(set(own["norm"]))
+        heads, canonical = _Heads(len(names)), {}
+        for norm in names:
+            ratio, head = heads.find(norm)
+            if ratio > SAME_NAME:
+                canonical[norm] = head
             else:
-                heads.append(norm)
-                out.append((key, norm))
-        return pd.DataFrame(out, columns=["entity_key", "canonical"])
+                heads.add(norm)
+                canonical[norm] = norm
+        return pd.DataFrame({"entity_key": own["entity_key"], "canonical": own["norm"].map(canonical)})
 
-    return e.groupBy("type", "numbers", "block").applyInPandas(greedy, "entity_key string, canonical string")
+    return e.groupBy("type", "numbers").applyInPandas(greedy, "entity_key string, canonical string")
 
 
 def dual_keys(spark, d):
