@@ -56,3 +56,21 @@ def test_resolution_across_first_letters(spark, tmp_path):
             own.append(head := name)
         want[key] = head
     assert got == want and got["k0"] == got["k1"] and got["k2"] == got["k3"] and got["k4"] != got["k5"]
+
+
+def test_semantic_merge_across_signs(spark, tmp_path, monkeypatch):
+    x = np.random.default_rng(4).standard_normal((60, 8))
+    x[30:] = x[:30] + np.random.default_rng(5).standard_normal((30, 8)) * 0.3
+    x[0], x[30], x[59] = [0.01, *[1] * 7], [-0.01, *[1] * 7], 0
+    rows = [(f"k{i:02}", ["person", "Firm"][i % 2], v.tolist()) for i, v in enumerate(x)]
+    spark.createDataFrame(rows, "entity_key string, type string, embedding array<float>").write.parquet(f"{tmp_path}/g_entity.parquet")
+    x = x.astype(np.float32).astype(float)
+    want = {}
+    for i, a in enumerate(x[:59]):
+        found = [(-round(float(a @ b / np.linalg.norm(a) / np.linalg.norm(b)), 6), f"k{j:02}") for j, b in enumerate(x[:59]) if i != j and i % 2 == j % 2]
+        if min(found)[0] <= -0.85:
+            want[f"k{i:02}"] = min(found)[1]
+    for block in (7, 2000):
+        monkeypatch.setattr(graph, "ENTITIES_PER_BLOCK", block)
+        assert {r.entity_key: r.other for r in graph.semantic(spark, str(tmp_path)).collect()} == want
+    assert want["k00"] == "k30" and want["k30"] == "k00"

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from veldra.functions import text as T, vectors as V
+from veldra.functions import text as T
 from veldra.operators import graph as G, ranking as R
 from veldra.queries import search as Q
 from veldra.queries.text import normalize_sql
@@ -67,15 +67,36 @@ def alias_table(spark, d) -> DataFrame:
     return R.dedup_max(a, ["alias_norm"], [F.asc("norm"), F.asc("entity_key")]).select("alias_norm", F.col("norm").alias("canonical"))
 
 
+#: Entities of a type compared with as many others at once.
+ENTITIES_PER_BLOCK = 2_000
+
+
 def semantic(spark, d):
     """Each entity's most similar other one of its type by the cosine of their vectors, if 0.85 or more.
 
-    The eight-number vectors are compared within (type, sign pattern of the first four
-    numbers) only, which bounds the pairs.
+    All entities of a type are compared, a block of them with a block at a time.
     """
-    e = entities(spark, d).filter("size(embedding) = 8 and type is not null").select("entity_key", F.upper("type").alias("type"), "embedding", F.array_join(F.transform(F.slice("embedding", 1, 4), lambda x: F.when(x > 0, "1").otherwise("0")), "").alias("signs"))
-    p = e.alias("a").join(e.alias("b"), F.expr("a.type = b.type and a.signs = b.signs and a.entity_key <> b.entity_key"))
-    p = p.select(F.col("a.entity_key").alias("entity_key"), F.col("b.entity_key").alias("other"), F.round(V.cosine(F.col("a.embedding"), F.col("b.embedding")), 6).alias("cosine")).filter("cosine >= 0.85")
+    e = entities(spark, d).filter("size(embedding) = 8 and type is not null and entity_key is not null and not exists(embedding, x -> x is null or isnan(x)) and exists(embedding, x -> x <> 0)")
+    e = e.select("entity_key", F.upper("type").alias("type"), F.col("embedding").cast("array<double>").alias("embedding"))
+    blocks = e.groupBy("type").agg(F.ceil(F.count("*") / ENTITIES_PER_BLOCK).alias("blocks"))
+    e = e.join(blocks, "type").withColumn("own", F.pmod(F.xxhash64("entity_key"), F.col("blocks"))).withColumn("every", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    names = ("type", "one", "two", "entity_key", "embedding")
+    sides = [e.select(*(F.col(c).alias(n) for c, n in zip(("type", one, two, "entity_key", "embedding"), names))) for one, two in (("own", "every"), ("every", "own"))]
+
+    def best(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        if one.empty or two.empty:
+            return pd.DataFrame({"entity_key": [], "other": [], "cosine": []})
+        two = two.sort_values("entity_key")
+        x, y = (np.array(side["embedding"].tolist(), np.float64) for side in (one, two))
+        x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (x, y))
+        cosine = np.round(x @ y.T, 6)
+        cosine[one["entity_key"].to_numpy()[:, None] == two["entity_key"].to_numpy()] = -2
+        at = cosine.argmax(axis=1)  # the first, of the least key, among equals
+        out = pd.DataFrame({"entity_key": one["entity_key"].to_numpy(), "other": two["entity_key"].to_numpy()[at], "cosine": cosine[np.arange(len(one)), at]})
+        return out[out["cosine"] >= 0.85]
+
+    by = ("type", "one", "two")
+    p = sides[0].groupBy(*by).cogroup(sides[1].groupBy(*by)).applyInPandas(best, "entity_key string, other string, cosine double")
     return R.dedup_max(p, ["entity_key"], [F.desc("cosine"), F.asc("other")])
 
 
