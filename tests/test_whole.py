@@ -5,7 +5,7 @@ import difflib
 import numpy as np
 
 from veldra.llm.leakage import leaked_items
-from veldra.queries import graph, ranking
+from veldra.queries import graph, ranking, search
 
 
 def shingle_set(text):
@@ -74,3 +74,13 @@ def test_semantic_merge_across_signs(spark, tmp_path, monkeypatch):
         monkeypatch.setattr(graph, "ENTITIES_PER_BLOCK", block)
         assert {r.entity_key: r.other for r in graph.semantic(spark, str(tmp_path)).collect()} == want
     assert want["k00"] == "k30" and want["k30"] == "k00"
+
+
+def test_semantic_cache_among_many_copies(spark, tmp_path):
+    x = np.random.default_rng(6).standard_normal((301, 64))
+    x[20:301] = x[20] + np.random.default_rng(7).standard_normal((281, 64)) * 0.05
+    x[5], x[200] = x[100] + np.r_[[6.0], [0] * 63], 0  # 5 is like 100 by less than 0.95
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    cosine = x[5] @ x[100] / np.linalg.norm(x[5]) / np.linalg.norm(x[100])
+    assert 0.6 <= cosine < 0.95
+    assert {r.query_id: r.hit for r in search.semantic_cache(spark, str(tmp_path)).collect()} == {100: 20, 300: 20}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -19,13 +19,8 @@ def top(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("int")).filter(F.col("rank") <= k)
 
 
-def dense_topk(base: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vector_col: str = "vector", query_col: str = "query_id") -> DataFrame:
-    """``query_id, id, score, rank``: the k rows of ``base`` with the highest cosine for each query.
-
-    Exact. The queries are sent in blocks; every task keeps the k best of its rows for
-    each, so only those are shuffled. Vectors that are null, empty, all zero or of another
-    length than a block's queries don't take part. Scores have 6 decimals, ties go by id.
-    """
+def _scored(base: DataFrame, queries: DataFrame, choose: Callable[[np.ndarray, list, pa.Array], tuple[np.ndarray, np.ndarray]], id_col: str, vector_col: str, query_col: str) -> DataFrame:
+    """``query_id, id, score`` of the (query, row) that ``choose`` takes from a batch's scores, query ids and row ids."""
     q_type = to_arrow_type(queries.schema[query_col].dataType)
     kinds = dict(base.dtypes)[id_col], dict(queries.dtypes)[query_col]
     wanted = queries.select(F.col(query_col).alias("q"), F.col(vector_col).cast("array<double>").alias("v")).filter((F.size("v") > 0) & F.exists("v", lambda x: x != 0)).distinct()
@@ -54,17 +49,46 @@ def dense_topk(base: DataFrame, queries: DataFrame, k: int, id_col: str = "id",
                     good = np.isfinite(length[:, 0])
                     at, x = at[good], x[good] / length[good]
                     score = np.round(q @ x.T, 6)
-                    n = min(k, score.shape[1])
-                    if not n:
+                    if not len(at):
                         continue
-                    # Everything from the n-th best score on: ties are settled by id later.
-                    least = np.partition(score, score.shape[1] - n, axis=1)[:, score.shape[1] - n]
-                    row, col = np.nonzero(score >= least[:, None])
+                    row, col = choose(score, ids, batch.column("id").take(pa.array(at)))
                     yield pa.RecordBatch.from_arrays([pa.array([ids[r] for r in row], q_type), batch.column("id").take(pa.array(at[col])), pa.array(score[row, col])], ["query_id", "id", "score"])
 
         parts.append(rows.mapInArrow(search, f"query_id {kinds[1]}, id {kinds[0]}, score double"))
-    found = reduce(DataFrame.unionByName, parts)
-    return top(found, ["query_id"], [F.desc("score"), F.asc("id")], k)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def dense_topk(base: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vector_col: str = "vector", query_col: str = "query_id") -> DataFrame:
+    """``query_id, id, score, rank``: the k rows of ``base`` with the highest cosine for each query.
+
+    Exact. The queries are sent in blocks; every task keeps the k best of its rows for
+    each, so only those are shuffled. Vectors that are null, empty, all zero or of another
+    length than a block's queries don't take part. Scores have 6 decimals, ties go by id.
+    """
+
+    def best(score: np.ndarray, ids: list, own: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        n = min(k, score.shape[1])
+        # Everything from the n-th best score on: ties are settled by id later.
+        least = np.partition(score, score.shape[1] - n, axis=1)[:, score.shape[1] - n]
+        return np.nonzero(score >= least[:, None])
+
+    return top(_scored(base, queries, best, id_col, vector_col, query_col), ["query_id"], [F.desc("score"), F.asc("id")], k)
+
+
+def earliest_alike(base: DataFrame, queries: DataFrame, least: float, id_col: str = "id", vector_col: str = "vector", query_col: str = "query_id") -> DataFrame:
+    """``query_id, hit``: for each query the least id below its own of which the cosine is ``least`` or more.
+
+    Exact, however many rows are alike: every task keeps the least id of a batch for each query.
+    """
+
+    def first(score: np.ndarray, ids: list, own: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        own = own.to_numpy(zero_copy_only=False)
+        order = np.argsort(own, kind="stable")
+        good = (score >= least) & (own < np.array(ids, own.dtype)[:, None])
+        row = np.flatnonzero(good.any(axis=1))
+        return row, order[good[row][:, order].argmax(axis=1)]
+
+    return _scored(base, queries, first, id_col, vector_col, query_col).groupBy("query_id").agg(F.min("id").alias("hit"))
 
 
 def sparse_topk(base: DataFrame, queries: DataFrame, k: int, id_col: str = "id", sparse_col: str = "sparse", query_col: str = "query_id") -> DataFrame:

@@ -45,8 +45,7 @@ def relaxation(spark, d):
 def semantic_cache(spark, d):
     """For each query vector the earliest earlier one with a cosine of at least 0.95."""
     e = table(spark, d, "embeddings")
-    found = S.dense_topk(e, e.filter("vec_id % 100 = 0"), 50, "vec_id", "embedding", "vec_id").filter("score >= 0.6 and id < query_id")
-    return found.groupBy("query_id").agg(F.min("id").alias("hit"))
+    return S.earliest_alike(e, e.filter("vec_id % 100 = 0"), 0.95, "vec_id", "embedding", "vec_id")
 
 
 QUERIES = {
