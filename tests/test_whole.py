@@ -5,6 +5,7 @@ import difflib
 import numpy as np
 
 from veldra.llm.leakage import leaked_items
+from veldra.llm.names import Parties
 from veldra.queries import graph, ranking, search
 
 
@@ -84,3 +85,16 @@ def test_semantic_cache_among_many_copies(spark, tmp_path):
     cosine = x[5] @ x[100] / np.linalg.norm(x[5]) / np.linalg.norm(x[100])
     assert 0.6 <= cosine < 0.95
     assert {r.query_id: r.hit for r in search.semantic_cache(spark, str(tmp_path)).collect()} == {100: 20, 300: 20}
+
+
+def test_parties_of_many_aliases(spark):
+    rng = np.random.default_rng(8)
+    syllables = [c + v for c in "bdfghjklmnprstvz" for v in "aeiou"]
+    aliases = sorted({" ".join("".join(rng.choice(syllables, 4)).capitalize() for _ in range(2)) for _ in range(60)})
+    rows = [("hub", "Habura Vira", aliases[:30]), ("hub2", "Habura Vira", aliases[30:])] + [(f"k{i:02}", a, None) for i, a in enumerate(aliases)]
+    rows = [(key, name, "PERSON", own, None, None) for key, name, own in rows]
+    found = Parties(spark.createDataFrame(rows, "entity_key string, name string, type string, aliases array<string>, description string, citation_text string"))
+    linked = {r.b if "habura" in r.a else r.a for r in found.links.collect() if "habura" in r.a + r.b}
+    assert len(aliases) == 60 and linked == {f"p||{a.lower()}" for a in aliases}
+    assert found.links.count() == found.links.select("a", "b").distinct().count()
+    assert {r.party for r in found.members().collect()} == {"hub"}

@@ -34,6 +34,7 @@ MISS = 0.01
 #: A word of so large a part of the nodes, and in at least so many, is generic.
 GENERIC, GENERIC_LEAST = 0.004, 12
 SIMILAR = 0.86
+#: Aliases of a node in a row; a node of more has several rows.
 MOST_FORMS = 12
 MOST_ROUNDS = 40
 
@@ -273,10 +274,11 @@ class Parties:
         made = made.withColumn("node", node)
         self._members = made.select("key", "node").distinct()
         flat = made.select("node", "words", "unit", "kind", "place", F.explode_outer("others").alias("other"))
-        others = flat.filter("other is not null and other <> words").groupBy("node", "other").agg(F.count("*").alias("n"))
-        ranked = others.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("other")), 1, MOST_FORMS).alias("others"))
+        others = flat.filter("other is not null and other <> words").select("node", "other").distinct()
+        parts = others.groupBy("node").agg(F.ceil(F.count("*") / MOST_FORMS).alias("parts"))
+        dealt = others.join(parts, "node").groupBy("node", F.pmod(F.xxhash64("other"), F.col("parts")).alias("part")).agg(F.sort_array(F.collect_set("other")).alias("others")).drop("part")
         places = made.groupBy("node").agg(F.first("words").alias("words"), F.first("unit").alias("unit"), F.first("kind").alias("kind"), F.mode("place").alias("place"))
-        nodes = stage(places.filter("words <> ''").join(ranked, "node", "left"), "nodes")
+        nodes = stage(places.filter("words <> ''").join(dealt, "node", "left"), "nodes")
         bands = bands_for()
         x = mix(np.arange(1, 2 * bands * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         mul, add = x[: bands * ROWS] | np.uint64(1), x[bands * ROWS :]
@@ -299,8 +301,8 @@ class Parties:
 
         keyed = nodes.mapInPandas(banded, "node string, band bigint").repartition("band").dropDuplicates(["band", "node"])
         pairs = keyed.alias("a").join(keyed.alias("b"), F.expr("a.band = b.band and a.node < b.node")).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
-        sides = [nodes.select(*(F.col(c).alias(f"{c}_{s}") for c in ("node", "words", "place", "others"))).withColumnRenamed(f"node_{s}", s) for s in "ab"]
-        full = pairs.join(sides[0], "a").join(nodes.select(F.col("node").alias("a"), "kind"), "a").join(sides[1], "b")
+        sides = [nodes.select(*(F.col(c).alias(f"{c}_{s}") for c in ("node", "words", "kind", "place", "others"))).withColumnRenamed(f"node_{s}", s) for s in "ab"]
+        full = pairs.join(sides[0], "a").join(sides[1].drop("kind_b"), "b")
         full = full.filter("place_a is null or place_b is null or place_a = place_b")
 
         def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -309,7 +311,7 @@ class Parties:
                 for r in batch.itertuples(index=False):
                     one = [r.words_a, *(r.others_a if r.others_a is not None else ())]
                     two = [r.words_b, *(r.others_b if r.others_b is not None else ())]
-                    same = max(names.forms(r.kind == "p", tuple(f.split()), tuple(g.split())) for f in one for g in two)
+                    same = max(names.forms(r.kind_a == "p", tuple(f.split()), tuple(g.split())) for f in one for g in two)
                     # A name that is the other's alias links them, whatever it looks like.
                     if r.words_a in two or r.words_b in one:
                         same = 1.0
@@ -317,7 +319,8 @@ class Parties:
                         out.append((r.a, r.b, same))
                 yield pd.DataFrame(out, columns=["a", "b", "similarity"])
 
-        self.links = stage(full.mapInPandas(verify, "a string, b string, similarity double"), "links")
+        verified = full.mapInPandas(verify, "a string, b string, similarity double")
+        self.links = stage(verified.groupBy("a", "b").agg(F.max("similarity").alias("similarity")), "links")
         self._stars = self._cluster()
 
     def _cluster(self) -> DataFrame:
