@@ -1,6 +1,7 @@
 import os
 
 import numpy as np
+from pyspark.sql import functions as F
 import pytest
 
 from veldra.llm.packing import PATTERN, TOKENIZER, _count, encoding, pack, pack_task, window_fill
@@ -68,7 +69,8 @@ def test_pack(spark):
     assert max(fill.values()) <= 1024 and sorted(r.position for r in rows if r.window_id == "0-0") == list(range(1, 1 + sum(r.window_id == "0-0" for r in rows)))
     total = window_fill(packed).first()
     assert total.windows == len(fill) and total.fill > 0.9 and len({w.split("-")[0] for w in fill}) > 3
-    assert pack(spark.createDataFrame(texts, SCHEMA), shares={"desk": 1.0}).count() == len(texts)
+    whole = pack(spark.createDataFrame(texts, SCHEMA), shares={"desk": 1.0}).agg(F.count_distinct("doc_id"), F.sum("tokens")).first()
+    assert tuple(whole) == (len(texts), sum(len(encode(t[1])) for t in texts))
 
 
 def test_empty(spark):

@@ -1,50 +1,56 @@
 """Problem 3: variant spellings of names, linked to the party they mean.
 
-* A name is cleaned: titles, articles, legal forms and unit numbers are set apart;
-  words found in many names (trades) are generic, as are their abbreviations. What is
-  left is the core. Rows of the same cleaned name, unit and kind are one node from
-  the start, so a name repeated very often costs one comparison.
-* Candidates: MinHash banding over the padded q-grams of the cores of names and
-  aliases, together with the unit. The number of bands comes from the collision curve
-  for names as alike as ``ALIKE``, to be missed with probability ``MISS`` at most.
-* Verification: symmetric Monge-Elkan similarity of the words, Jaro-Winkler inside, with
-  rules for initials, words run together and acronyms. Other units, other kinds or
-  other known places are other parties; two persons need both names.
-* Star clustering: in rounds, each node that has more links (then the smaller id) than all
-  its unassigned neighbours becomes the centre of a star of them.
+* A name is cleaned: titles, articles, legal forms and unit numbers are set apart; words
+  found beside many others (trades) are generic, as are their abbreviations. What is left
+  is the core. A form is *full* if its core has two words or one long run of them, *short*
+  if it has an initial for a word, lacks the trade or lacks a part of the core, *bare* if
+  it is a lone short word (a pet name, an acronym). An entity's fullest form, among name and
+  aliases, stands for it; its other full forms are kept beside it.
+* Candidates: MinHash banding over the padded q-grams of the cores, together with kind and
+  unit. The number of bands comes from the collision curve for names as alike as ``ALIKE``,
+  to be missed with probability ``MISS`` at most. For short forms, full forms are banded
+  again as they would look when shortened.
+* Verification: Monge-Elkan similarity of the words with Jaro-Winkler inside, both ways.
+  If one word is equal the other may be looser, with the same first letter; otherwise each
+  word may have few edits only. Other units, kinds or trades are other parties.
+* Star clustering of the full forms: in rounds, each node that has more links than all its
+  unassigned neighbours becomes the centre of a star of them. A short form then joins the
+  one star it resembles most; if two resemble it alike it joins none. A bare form links
+  nothing: only an alias of its entity can.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from veldra.llm.banding import equal_pairs
 from veldra.llm.words import mix
 from veldra.storage import stage
 
 Q = 3
-ROWS = 2
-ALIKE = 0.38
+ROWS = 3
+ALIKE = 0.42
 MISS = 0.01
-#: A word of so large a part of the nodes, and in at least so many, is generic.
-GENERIC, GENERIC_LEAST = 0.004, 12
-SIMILAR = 0.86
-#: Aliases of a node in a row; a node of more has several rows.
-MOST_FORMS = 12
-MOST_ROUNDS = 40
-
-_TITLES = frozenset("mr mrs ms miss dr shri sri smt kumari prof sir m/s ms. messrs the".split())
+#: A word in so large a part of the names, beside at least so many different words, is generic. At most 5 words a name over the first number can be.
+GENERIC, GENERIC_LEAST = 0.004, 8
+#: Least similarity of two names, and of a word whose partner word is equal.
+SIMILAR, LOOSE = 0.86, 0.7
+#: Letters from which a single word may be a whole name run together.
+JOINED = 8
+
+_TITLES = frozenset("mr mrs ms miss dr shri sri smt kumari prof sir adv advocate m/s ms. messrs the".split())
 #: Words of legal forms, by what they come to.
 _LEGAL = {"private": "", "pvt": "", "p": "", "limited": "", "ltd": "", "company": "", "co": "", "sons": "", "son": "", "and": "", "n": "", "&": "", "llp": "", "inc": "", "corp": "", "corporation": "", "bros": "", "brothers": ""}
 #: Aliases that stand for nobody in particular.
 _STAND_INS = frozenset("respondent appellant petitioner complainant applicant buyer seller supplier unit firm company party claimant defendant he she they it".split())
 _UNIT = regex.compile(r"\(?\b(?:unit|u)\b[\s.\-]*(?:no\.?\s*)?(\d+)\)?|\(u-?(\d+)\)")
-_PLACE = regex.compile(r"\bat (\p{Lu}\p{L}+)\.?\s*$")
 
 
 def clean(name: str | None) -> tuple[tuple[str, ...], str, bool] | None:
@@ -119,38 +125,88 @@ def edits(a: str, b: str, most: int = 2) -> int:
 
 
 def alike(a: str, b: str) -> float:
-    """Similarity of two words: Jaro-Winkler; an initial counts as its word; too many edits count nothing."""
+    """Similarity of two words: Jaro-Winkler; too many edits for the length count nothing."""
     if a == b:
         return 1.0
-    if len(a) == 1 or len(b) == 1:
-        return 0.9 if a[0] == b[0] else 0.0
-    if edits(a, b, 1 + (max(len(a), len(b)) > 4) + (min(len(a), len(b)) > 7)) > 1 + (max(len(a), len(b)) > 4) + (min(len(a), len(b)) > 7):
-        return 0.0
-    return jaro_winkler(a, b)
+    most = 1 + (min(len(a), len(b)) > 6)
+    return jaro_winkler(a, b) if edits(a, b, most) <= most else 0.0
 
 
-def monge_elkan(a: tuple[str, ...], b: tuple[str, ...]) -> float:
+def monge_elkan(a: tuple[str, ...], b: tuple[str, ...], word: Callable[[str, str], float] = alike) -> float:
     """Mean of the best partner's similarity for each word, of both directions the less."""
     if not a or not b:
         return 0.0
-    one = sum(max(alike(x, y) for y in b) for x in a) / len(a)
-    two = sum(max(alike(x, y) for x in a) for y in b) / len(b)
+    one = sum(max(word(x, y) for y in b) for x in a) / len(a)
+    two = sum(max(word(x, y) for x in a) for y in b) / len(b)
     return min(one, two)
 
 
+def closely(a: str, b: str) -> float:
+    """Jaro-Winkler of two words at most one edit apart."""
+    return jaro_winkler(a, b) if edits(a, b, 1) <= 1 else 0.0
+
+
+def loosely(a: str, b: str) -> float:
+    """Jaro-Winkler of two words of the same first letter, if ``LOOSE`` or more."""
+    got = jaro_winkler(a, b) if a[0] == b[0] else 0.0
+    return got if got >= LOOSE else 0.0
+
+
+def cores(a: tuple[str, ...], b: tuple[str, ...]) -> float:
+    """Similarity of two full cores, in any order of the words; 0 if too far apart."""
+    if a == b:
+        return 1.0
+    if len(a) != len(b) and min(len(a), len(b)) == 1:  # words run together
+        one, more = sorted((a, b), key=len)
+        least = min(edits(one[0], "".join(order), 2) for order in (more, more[::-1]))
+        return 1 - least / 16 if least <= 1 + (len(one[0]) > 9) else 0.0
+    if len(a) == len(b) == 2 and set(a) & set(b):
+        shared = (set(a) & set(b)).pop()
+        (x,), (y,) = ([w for w in c if w != shared] or [shared] for c in (a, b))
+        # A pet name or a clipped word beside an equal one that says more.
+        loose = loosely(x, y) if max(len(x), len(y)) <= len(shared) else 0.0
+        return (1 + max(loose, alike(x, y))) / 2 if loose or alike(x, y) else 0.0
+    return monge_elkan(a, b, closely)
+
+
 def abbreviates(short: str, long: str) -> bool:
-    """Whether the letters of ``short`` come in ``long`` in order, from its first on."""
+    """Whether ``short`` is the beginning of ``long``, or its first letter and then consonants of it in order."""
     if len(short) < 2 or len(short) >= len(long) or short[0] != long[0]:
         return False
+    if len(short) > 2 and long.startswith(short):
+        return True
+    if any(c in "aeiou" for c in short[1:]):
+        return False
     rest = iter(long)
     return all(c in rest for c in short)
 
 
+class Form(NamedTuple):
+    """A name as it is compared."""
+
+    kind: str
+    unit: str
+    core: tuple[str, ...]
+    trade: frozenset[str]
+    #: '' if full; 'initial', 'trade' (it lacks the trade), 'part' (one word of the core and the trade) or 'bare'.
+    short: str
+    initial: str = ""
+
+    @property
+    def rank(self) -> int:
+        return 3 if not self.short and len(self.core) > 1 else 2 if not self.short else 0 if self.short == "bare" else 1
+
+    @property
+    def node(self) -> str:
+        return "|".join((self.kind, self.unit, self.initial, " ".join(sorted(self.core)), min(self.trade, default="")))
+
+
 class Names:
-    """Verification with the generic words of the collection."""
+    """Forms and their similarities with the generic words of the collection."""
 
     def __init__(self, generic: frozenset[str]) -> None:
-        self.generic = generic
+        # An abbreviation that is frequent itself is no trade of its own.
+        self.generic = frozenset(g for g in generic if not any(abbreviates(g, h) for h in generic))
         self.known: dict[str, frozenset[str]] = {}
 
     def trade(self, word: str) -> frozenset[str]:
@@ -168,56 +224,53 @@ class Names:
             self.known[word] = got
         return got
 
-    def split(self, words: tuple[str, ...]) -> tuple[tuple[str, ...], tuple[frozenset[str], ...]]:
-        """(core, trades)"""
+    def form(self, kind: str, unit: str, words: tuple[str, ...]) -> Form:
+        if kind == "p":
+            long, initials = tuple(w for w in words if len(w) > 1), [w for w in words if len(w) == 1]
+            if len(long) > 1 or (len(long) == 1 and not initials and len(long[0]) >= JOINED):  # middle initials tell nothing
+                return Form(kind, unit, long, frozenset(), "")
+            if len(long) == 1 and initials:
+                return Form(kind, unit, long, frozenset(), "initial", initials[0])
+            return Form(kind, unit, words, frozenset(), "bare")
         trades = [(w, self.trade(w)) for w in words]
         core = tuple(w for w, t in trades if not t)
         if not core:  # a name of generic words only keeps them
-            return words, ()
-        return core, tuple(t for _, t in trades if t)
+            return Form(kind, unit, words, frozenset(), "" if len(words) > 1 else "bare")
+        trade = frozenset().union(*(t for _, t in trades))
+        if len(core) > 1 or len(core[0]) >= JOINED:
+            return Form(kind, unit, core, trade, "" if trade else "trade")
+        return Form(kind, unit, core, trade, "part" if trade else "bare")
 
-    def forms(self, person: bool, a: tuple[str, ...], b: tuple[str, ...]) -> float:
-        """Similarity of two names in words."""
-        (core_a, trade_a), (core_b, trade_b) = (self.split(a), self.split(b)) if not person else ((a, ()), (b, ()))
-        if trade_a and trade_b and not (frozenset().union(*trade_a) & frozenset().union(*trade_b)):
+    @staticmethod
+    def similarity(a: Form, b: Form) -> float:
+        """0 if the two can't be one party."""
+        if a.kind != b.kind or a.unit != b.unit or (a.trade and b.trade and not a.trade & b.trade):
+            return 0.0
+        if a.short and b.short:
             return 0.0
-        if person:
-            return self._persons(core_a, core_b)
-        for x, y, t in ((core_a, core_b + tuple(min(g) for g in trade_b), trade_a), (core_b, core_a + tuple(min(g) for g in trade_a), trade_b)):
-            # An acronym of core and trade: its first letters in some order of them.
-            if len(x) == 1 and not t and 2 <= len(x[0]) <= 4 and len(y) == len(x[0]) and "".join(w[0] for w in y) == x[0]:
-                return 0.95
-        joined = max(self._joined(core_a, core_b), monge_elkan(core_a, core_b))
-        if len(core_a) != len(core_b) and min(len(core_a), len(core_b)) == 1:
-            # One part left out: the other must be equal, and the trade the same.
-            one, more = sorted((core_a, core_b), key=len)
-            if len(one[0]) >= 4 and one[0] in more and trade_a and trade_b:
-                joined = max(joined, 0.9)
-        return joined
+        if b.short in ("initial", "part"):
+            a, b = b, a
+        if a.short == "initial":
+            return max((1 - edits(a.core[0], w, 2) / 16 for w in b.core if any(o[0] == a.initial for o in b.core if o != w) and edits(a.core[0], w, 2) <= 1 + (len(w) > 6)), default=0.0) if len(b.core) > 1 else 0.0
+        if a.short == "part":
+            return max((1 - edits(a.core[0], w, 2) / 16 for w in b.core if edits(a.core[0], w, 2) <= 1), default=0.0) if len(b.core) > 1 and b.trade else 0.0
+        return cores(a.core, b.core)
 
     @staticmethod
-    def _joined(a: tuple[str, ...], b: tuple[str, ...]) -> float:
-        if len(a) == len(b) or min(len(a), len(b)) != 1:
-            return 0.0
-        one, more = ("".join(x) for x in sorted((a, b), key=len))
-        other = "".join(reversed(sorted((a, b), key=len)[1]))
-        return max((1 - edits(one, m, 2) / 8 for m in (more, other) if edits(one, m, 2) <= 1), default=0.0)
-
-    def _persons(self, a: tuple[str, ...], b: tuple[str, ...]) -> float:
-        joined = self._joined(a, b)
-        if joined:
-            return joined
-        long_a, long_b = tuple(w for w in a if len(w) > 1), tuple(w for w in b if len(w) > 1)
-        if len(long_a) >= 2 and len(long_b) >= 2:  # middle initials tell nothing
-            a, b = long_a, long_b
-        if len(a) != len(b) or len(a) < 2:
-            return 1.0 if a == b else 0.0
-        best = 0.0
-        for order in (b, b[::-1]):
-            each = [alike(x, y) for x, y in zip(a, order)]
-            if min(each) >= 0.75 and (max(each) == 1.0 or min(each) >= 0.85):
-                best = max(best, sum(each) / len(each))
-        return best
+    def views(f: Form) -> list[tuple[str, tuple[str, ...]]]:
+        """(name space, words to band) of a form, for full forms also as they would look when shortened."""
+        base = f"{f.kind}|{f.unit}|"
+        if f.short == "initial":
+            return [(base + "i" + f.initial, f.core)]
+        if f.short == "part":
+            return [(base + "c" + t, f.core) for t in f.trade]
+        out = [(base, f.core)]
+        if not f.short and len(f.core) > 1:
+            if f.kind == "p":
+                out += sorted({(base + "i" + o[0], (w,)) for k, w in enumerate(f.core) for j, o in enumerate(f.core) if j != k})
+            else:
+                out += sorted({(base + "c" + t, (w,)) for w in f.core for t in f.trade})
+        return out
 
 
 def _grams(words: tuple[str, ...]) -> list[int]:
@@ -232,115 +285,140 @@ def bands_for(alike_: float = ALIKE, rows: int = ROWS, miss: float = MISS) -> in
     return math.ceil(math.log(miss) / math.log(1 - alike_**rows))
 
 
+def _packed(f: Form) -> str:
+    return "\t".join((f.kind, f.unit, " ".join(f.core), " ".join(sorted(f.trade)), f.short, f.initial))
+
+
+def _unpacked(text: str) -> Form:
+    kind, unit, core, trade, short, initial = text.split("\t")
+    return Form(kind, unit, tuple(core.split()), frozenset(trade.split()), short, initial)
+
+
 class Parties:
     """Entities linked to parties.
 
     ``members()``: ``entity_key, party`` (the least key of the party); ``pairs()``:
     ``entity_a, entity_b`` of one party, smaller key first.
 
-    Null, empty and stand-in names leave an entity to its aliases; without any it is a
-    party of its own, as is one no other resembles. Rows without a key are left out; rows
-    repeated as a whole, or of one key, count once (all their names count). An empty table
-    gives an empty result. Columns but the named ones aren't read.
+    ``name_norm`` is read where ``name`` is null, empty or a stand-in; without either an
+    entity is left to its aliases, without any it is a party of its own, as is one no
+    other resembles. A type that is null is guessed from legal forms and trades. Rows
+    without a key are left out; rows repeated as a whole, or of one key, count once (all
+    their names count). An empty table gives an empty result. Columns but the named ones
+    aren't read.
     """
 
-    def __init__(self, df: DataFrame, key: str = "entity_key", name: str = "name", aliases: str = "aliases", kind: str = "type", description: str = "description", citation: str = "citation_text") -> None:
-        rows = df.select(*(F.col(c).alias(a) for c, a in ((key, "key"), (name, "name"), (aliases, "aliases"), (kind, "kind"), (description, "about"), (citation, "cited")))).filter("key is not null").distinct()
+    def __init__(self, df: DataFrame, key: str = "entity_key", name: str = "name", aliases: str = "aliases", kind: str = "type", norm: str = "name_norm") -> None:
+        rows = df.select(*(F.col(c).alias(a) for c, a in ((key, "key"), (name, "name"), (aliases, "aliases"), (kind, "kind"), (norm, "norm")))).filter("key is not null").distinct()
 
         def cleaned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 out = []
                 for r in batch.itertuples(index=False):
-                    got = clean(r.name)
-                    others = [c for x in (r.aliases if r.aliases is not None else ()) if (c := clean(x))]
-                    if got is None and others:
-                        got = others[0]
-                    words, unit, legal = got if got else ((), "", False)
+                    own = clean(r.name) or clean(r.norm)
+                    got = [c for c in (own, *map(clean, r.aliases if r.aliases is not None else ())) if c]
                     kind_ = (r.kind or "").lower()
-                    person = "p" if kind_.startswith(("person", "indiv")) else "o" if kind_.startswith("organi") or legal else "?"
-                    m = _PLACE.search(r.about or "")
-                    place = m[1] if m else r.cited.rsplit(",", 1)[1].strip() if r.cited and r.name and r.cited.startswith(f"{r.name},") else None
-                    out.append((r.key, " ".join(words), unit, person, place, [" ".join(w) for w, u, _ in others if u in ("", unit)]))
-                yield pd.DataFrame(out, columns=["key", "words", "unit", "kind", "place", "others"])
-
-        made = stage(rows.mapInPandas(cleaned, "key string, words string, unit string, kind string, place string, others array<string>"), "names")
-        # A word at home in many names is generic.
-        tokens = made.filter("kind <> 'p'").select("words", "unit").distinct().select(F.explode(F.array_distinct(F.split("words", " "))).alias("w")).filter(F.length("w") > 3)
-        n = made.select("words", "unit").distinct().count()
-        generic = frozenset(r["w"] for r in tokens.groupBy("w").agg(F.count("*").alias("n")).filter(F.col("n") >= max(GENERIC_LEAST, GENERIC * n)).orderBy(F.desc("n"), "w").limit(2000).collect())
+                    person = "p" if kind_.startswith(("person", "indiv")) else "o" if kind_.startswith("organi") or any(c[2] for c in got) else "?"
+                    unit = next((u for _, u, _ in got if u), "")
+                    out.append((r.key, person, unit, [" ".join(w) for w, u, _ in got if u in ("", unit)]))
+                yield pd.DataFrame(out, columns=["key", "kind", "unit", "names"])
+
+        made = stage(rows.mapInPandas(cleaned, "key string, kind string, unit string, names array<string>"), "names")
+        # A word at home beside many others is generic.
+        whole = made.filter("kind <> 'p' and size(names) > 0").select(F.col("names")[0].alias("w")).distinct().withColumn("words", F.array_distinct(F.split("w", " ")))
+        beside = whole.select(F.explode("words").alias("w"), "words").filter("length(w) > 3").groupBy("w").agg(F.count("*").alias("n"), F.approx_count_distinct(F.concat_ws(" ", F.expr("filter(words, x -> x <> w)"))).alias("others"))
+        generic = frozenset(r["w"] for r in beside.filter((F.col("others") >= GENERIC_LEAST) & (F.col("n") >= GENERIC * whole.count())).select("w").collect())
         names = Names(generic)
-        made = made.withColumn("kind", F.when(F.col("kind") != "?", F.col("kind")).when(F.exists(F.split("words", " "), lambda w: w.isin(*sorted(generic))) if generic else F.lit(False), "o").otherwise("p"))
-        node = F.when(F.col("words") == "", F.concat(F.lit("k"), "key")).otherwise(F.concat_ws("|", "kind", "unit", "words"))
-        made = made.withColumn("node", node)
-        self._members = made.select("key", "node").distinct()
-        flat = made.select("node", "words", "unit", "kind", "place", F.explode_outer("others").alias("other"))
-        others = flat.filter("other is not null and other <> words").select("node", "other").distinct()
-        parts = others.groupBy("node").agg(F.ceil(F.count("*") / MOST_FORMS).alias("parts"))
-        dealt = others.join(parts, "node").groupBy("node", F.pmod(F.xxhash64("other"), F.col("parts")).alias("part")).agg(F.sort_array(F.collect_set("other")).alias("others")).drop("part")
-        places = made.groupBy("node").agg(F.first("words").alias("words"), F.first("unit").alias("unit"), F.first("kind").alias("kind"), F.mode("place").alias("place"))
-        nodes = stage(places.filter("words <> ''").join(dealt, "node", "left"), "nodes")
         bands = bands_for()
         x = mix(np.arange(1, 2 * bands * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         mul, add = x[: bands * ROWS] | np.uint64(1), x[bands * ROWS :]
+        step = np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+        def formed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                out = []
+                for r in batch.itertuples(index=False):
+                    texts = list(dict.fromkeys(r.names))
+                    kind_ = r.kind if r.kind != "?" else "o" if any(names.trade(w) for t in texts for w in t.split()) else "p"
+                    forms = [names.form(kind_, r.unit, tuple(t.split())) for t in texts]
+                    best = max(forms, key=lambda f: f.rank, default=None)
+                    node = best.node if best and best.rank else f"k|{r.key}"
+                    keep = [f for f in forms if f.rank > 1 or f is best] if best and best.rank else []
+                    out += [(r.key, node, _packed(f)) for f in keep] or [(r.key, node, None)]
+                yield pd.DataFrame(out, columns=["key", "node", "form"])
+
+        formed_ = stage(made.mapInPandas(formed, "key string, node string, form string"), "forms")
+        self._members = formed_.select("key", "node").distinct()
+        forms = formed_.filter("form is not null").select("node", "form").distinct()
 
         def banded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                out_node, out_key = [], []
-                for node_, words, unit, kind_, others_ in zip(batch["node"], batch["words"], batch["unit"], batch["kind"], batch["others"]):
-                    own = {words, *(others_ if others_ is not None else ())}
-                    for form in own:
-                        w = tuple(form.split())
-                        core = w if kind_ == "p" else names.split(w)[0]
-                        g = mix(np.array(_grams(core), np.uint64))
+                out = []
+                for text in batch["form"]:
+                    keys = []
+                    for space, words in names.views(_unpacked(text)):
+                        g = mix(np.array(_grams(words), np.uint64))
                         least = ((g[:, None] * mul + add) >> np.uint64(20)).min(axis=0).reshape(bands, ROWS)
-                        salt = np.uint64(hash_text(f"{kind_}|{unit}"))
-                        keys = mix(mix(least[:, 0] + salt) + least[:, 1] + np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                        out_node += [node_] * bands
-                        out_key.append(keys.view(np.int64))
-                yield pd.DataFrame({"node": out_node, "band": np.concatenate(out_key) if out_key else np.zeros(0, np.int64)})
-
-        keyed = nodes.mapInPandas(banded, "node string, band bigint").repartition("band").dropDuplicates(["band", "node"])
-        pairs = keyed.alias("a").join(keyed.alias("b"), F.expr("a.band = b.band and a.node < b.node")).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
-        sides = [nodes.select(*(F.col(c).alias(f"{c}_{s}") for c in ("node", "words", "kind", "place", "others"))).withColumnRenamed(f"node_{s}", s) for s in "ab"]
-        full = pairs.join(sides[0], "a").join(sides[1].drop("kind_b"), "b")
-        full = full.filter("place_a is null or place_b is null or place_a = place_b")
+                        k = least[:, 0] + np.uint64(hash_text(space))
+                        for j in range(1, ROWS):
+                            k = mix(k) + least[:, j]
+                        keys.append(mix(k + step).view(np.int64))
+                    out.append(np.concatenate(keys))
+                yield batch.assign(bands=out)
+
+        # One row a form; equal forms of several nodes meet like others.
+        listed = stage(forms.withColumn("id", F.xxhash64("node", "form")).mapInPandas(banded, "node string, form string, id bigint, bands array<bigint>"), "bands")
+        keyed = listed.select("id", F.explode(F.array_distinct("bands")).alias("band"))
+        pairs = equal_pairs(keyed, "band", "id")
+        parts = F.split("form", "\t")
+        sides = [
+            listed.select(F.col("id").alias(s), F.col("node").alias(f"node_{s}"), F.col("form").alias(f"form_{s}"), F.split(parts[2], " ").alias(f"core_{s}"), parts[4].alias(f"short_{s}"))
+            for s in "ab"
+        ]
+        full = pairs.join(sides[0], "a").join(sides[1], "b").filter("node_a <> node_b and (short_a = '' or short_b = '')")
+        # What can't be verified is set aside before Python: no equal word, and over 4 edits in either order.
+        straight, turned = F.array_join("core_b", ""), F.array_join(F.reverse("core_b"), "")
+        near = F.least(F.levenshtein(F.array_join("core_a", ""), straight), F.levenshtein(F.array_join("core_a", ""), turned)) <= 4
+        full = full.filter(F.col("short_a").isin("initial", "part") | F.col("short_b").isin("initial", "part") | F.arrays_overlap("core_a", "core_b") | near)
 
         def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 out = []
-                for r in batch.itertuples(index=False):
-                    one = [r.words_a, *(r.others_a if r.others_a is not None else ())]
-                    two = [r.words_b, *(r.others_b if r.others_b is not None else ())]
-                    same = max(names.forms(r.kind_a == "p", tuple(f.split()), tuple(g.split())) for f in one for g in two)
-                    # A name that is the other's alias links them, whatever it looks like.
-                    if r.words_a in two or r.words_b in one:
-                        same = 1.0
-                    if same >= SIMILAR:
-                        out.append((r.a, r.b, same))
-                yield pd.DataFrame(out, columns=["a", "b", "similarity"])
-
-        verified = full.mapInPandas(verify, "a string, b string, similarity double")
-        self.links = stage(verified.groupBy("a", "b").agg(F.max("similarity").alias("similarity")), "links")
+                for node_a, node_b, form_a, form_b, short_a, short_b in zip(*(batch[c] for c in ("node_a", "node_b", "form_a", "form_b", "short_a", "short_b"))):
+                    same = names.similarity(_unpacked(form_a), _unpacked(form_b))
+                    short = bool(short_a or short_b)
+                    if same >= SIMILAR or (same and short):
+                        turn = bool(short_b) if short else node_a > node_b  # a short form stands first, else the smaller node
+                        out.append((node_b, node_a, same, short) if turn else (node_a, node_b, same, short))
+                yield pd.DataFrame(out, columns=["a", "b", "similarity", "short"])
+
+        verified = full.select("node_a", "node_b", "form_a", "form_b", "short_a", "short_b").mapInPandas(verify, "a string, b string, similarity double, short boolean")
+        links = stage(verified.groupBy("a", "b", "short").agg(F.max("similarity").alias("similarity")), "links")
+        #: Links between full forms ``a, b, similarity``, and from short forms ``a`` to full ones ``b``.
+        self.links, self.short_links = links.filter("not short").drop("short"), links.filter("short").drop("short")
         self._stars = self._cluster()
 
     def _cluster(self) -> DataFrame:
-        """``node, star``"""
-        both = self.links.select("a", "b", "similarity").unionByName(self.links.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
-        left = stage(both.join(both.groupBy("b").agg(F.count("*").alias("links_b")), "b").join(both.groupBy("a").agg(F.count("*").alias("links_a")), "a"), "stars")
+        """``node, star``: the stars of full forms, then each short form at the star it resembles most, if there is just one."""
+        both = self.links.unionByName(self.links.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
+        count = both.groupBy("a").agg(F.count("*").alias("n"))
+        left = stage(both.join(count.select(F.col("a").alias("b"), F.struct(F.col("n"), F.xxhash64("a"), F.col("a")).alias("weight_b")), "b").join(count.select("a", F.struct(F.col("n"), F.xxhash64("a"), F.col("a")).alias("weight_a")), "a"), "stars")
         done = None
-        for _ in range(MOST_ROUNDS):
-            if not left.head(1):
-                break
-            ahead = (F.col("links_a") > F.col("links_b")) | ((F.col("links_a") == F.col("links_b")) & (F.col("a") < F.col("b")))
-            centres = left.groupBy("a").agg(F.bool_and(ahead).alias("centre")).filter("centre").select("a")
-            joined = left.join(centres, "a").groupBy("b").agg(F.max_by("a", F.struct("similarity", "links_a", "a")).alias("star")).select(F.col("b").alias("node"), "star")
+        # The heaviest node of each component becomes a centre in every round, so the loop ends.
+        while left.head(1):
+            centres = left.groupBy("a").agg(F.bool_and(F.col("weight_a") > F.col("weight_b")).alias("centre")).filter("centre").select("a")
+            joined = left.join(centres, "a").groupBy("b").agg(F.max_by("a", F.struct("similarity", "weight_a")).alias("star")).select(F.col("b").alias("node"), "star")
             new = stage(joined.unionByName(centres.select(F.col("a").alias("node"), F.col("a").alias("star"))), "stars")
             done = new if done is None else done.unionByName(new)
             gone = new.select("node")
             left = stage(left.join(gone, left["a"] == gone["node"], "left_anti").join(gone, left["b"] == gone["node"], "left_anti"), "stars")
-        else:
-            raise RuntimeError(f"stars did not settle in {MOST_ROUNDS} rounds")
-        return done if done is not None else self.links.select(F.col("a").alias("node"), F.col("a").alias("star"))
+        if done is None:
+            done = self.links.select(F.col("a").alias("node"), F.col("a").alias("star"))
+        near = self.short_links.join(done, self.short_links["b"] == done["node"], "left").select("a", F.coalesce("star", "b").alias("star"), "similarity")
+        near = near.groupBy("a", "star").agg(F.max("similarity").alias("similarity"))
+        best = near.groupBy("a").agg(F.max("similarity").alias("best"))
+        only = near.join(best, "a").filter("similarity = best").groupBy("a").agg(F.min("star").alias("star"), F.count("*").alias("n")).filter("n = 1")
+        return done.unionByName(only.select(F.col("a").alias("node"), "star"))
 
     def _by_star(self) -> DataFrame:
         return self._members.join(self._stars, "node", "left").select("key", F.coalesce("star", "node").alias("star")).distinct()
