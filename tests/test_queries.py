@@ -6,7 +6,7 @@ import os
 import pytest
 
 DATA = "/root/testdata/sf0.001"
-AREAS = ("text", "search", "ranking", "graph", "sessions", "tables", "checks")
+AREAS = ("text", "search", "ranking", "graph", "sessions", "tables", "checks", "ingest", "build", "ask")
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables aren't here")
 

@@ -4,9 +4,8 @@ import difflib
 
 import numpy as np
 
-from veldra.llm.leakage import leaked_items
-from veldra.llm.names import Parties
-from veldra.queries import graph, ranking, search
+from veldra.operators import search as S
+from veldra.queries import graph, ranking
 
 
 def shingle_set(text):
@@ -29,15 +28,6 @@ def test_near_dup_of_long_texts(spark, tmp_path):
     assert got == want and ("a", "b") in want and ("d", "e") in want and ("d", "f") not in want
 
 
-def test_leak_in_the_last_twelve_words(spark):
-    item = [f"i{k}" for k in range(12)]
-    docs = [(length, " ".join([f"d{k}" for k in range(length - 12)] + item)) for length in range(12, 62)]
-    docs.append((100, " ".join([f"d{k}" for k in range(11)] + ["i"] + item)))  # two runs, one of them the last
-    items = [(1, " ".join(item)), (2, " ".join(["i", *item]))]
-    got = {(r.doc_id, r.item_id): r.shared_runs for r in leaked_items(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
-    assert got == {(d, i): 1 for d in range(12, 62) for i in (1, 2)} | {(100, 1): 1, (100, 2): 2}
-
-
 def test_resolution_across_first_letters(spark, tmp_path):
     rng = np.random.default_rng(3)
     names = ["kilo thebuta", "klio thebutta", "beya luthame", "smt beya luthame", "unit 4 beya luthame", "unit 5 beya luthame"]
@@ -77,24 +67,12 @@ def test_semantic_merge_across_signs(spark, tmp_path, monkeypatch):
     assert want["k00"] == "k30" and want["k30"] == "k00"
 
 
-def test_semantic_cache_among_many_copies(spark, tmp_path):
+def test_semantic_cache_among_many_copies(spark):
     x = np.random.default_rng(6).standard_normal((301, 64))
     x[20:301] = x[20] + np.random.default_rng(7).standard_normal((281, 64)) * 0.05
     x[5], x[200] = x[100] + np.r_[[6.0], [0] * 63], 0  # 5 is like 100 by less than 0.95
-    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>").repartition(3)
     cosine = x[5] @ x[100] / np.linalg.norm(x[5]) / np.linalg.norm(x[100])
     assert 0.6 <= cosine < 0.95
-    assert {r.query_id: r.hit for r in search.semantic_cache(spark, str(tmp_path)).collect()} == {100: 20, 300: 20}
-
-
-def test_parties_of_many_aliases(spark):
-    rng = np.random.default_rng(8)
-    syllables = [c + v for c in "bdfghjklmnprstvz" for v in "aeiou"]
-    aliases = sorted({" ".join("".join(rng.choice(syllables, 4)).capitalize() for _ in range(2)) for _ in range(60)})
-    rows = [("hub", "Habura Vira", aliases[:30]), ("hub2", "Habura Vira", aliases[30:])] + [(f"k{i:02}", a, None) for i, a in enumerate(aliases)]
-    rows = [(key, name, "PERSON", own, None, None) for key, name, own in rows]
-    found = Parties(spark.createDataFrame(rows, "entity_key string, name string, type string, aliases array<string>, description string, citation_text string"))
-    linked = {r.b if "habura" in r.a else r.a for r in found.links.collect() if "habura" in r.a + r.b}
-    assert len(aliases) == 60 and linked == {f"p||{a.lower()}" for a in aliases}
-    assert found.links.count() == found.links.select("a", "b").distinct().count()
-    assert {r.party for r in found.members().collect()} == {"hub"}
+    got = S.earliest_alike(df, df.filter("vec_id % 100 = 0"), 0.95, "vec_id", "embedding", "vec_id")
+    assert {r.query_id: r.hit for r in got.collect()} == {100: 20, 300: 20}

@@ -35,20 +35,29 @@ def markdown_blocks(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def table_cells(line: Column) -> Column:
     """Cells of a table row, stripped; the bars at both ends don't count."""
-    return F.transform(F.split(F.regexp_replace(T.strip(line), r"^\||\|$", ""), r"\|"), T.strip)
+    return F.transform(F.split(F.regexp_replace(T.strip(line), r"^\|+|\|+$", ""), r"\|"), T.strip)
+
+
+#: A line of dashes between bars, at least two columns of them: a fixed value.
+_SEPARATOR = r"^\s*\|?\s*:?-{2,}:?\s*(\|\s*:?-{2,}:?\s*)+\|?\s*$"
 
 
 def is_separator(line: Column) -> Column:
-    return T.strip(line).rlike(r"^\|?[\s:|-]*-[\s:|-]*\|?$") & F.contains(line, F.lit("-"))
+    return line.rlike(_SEPARATOR)
+
 
+def table_rows(blocks: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
+    """``keys, row_no, names, cells``: the rows under the first separator line, named by the line before it.
 
-def table_rows(blocks: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys, row_no, names, cells``: rows under a header; short rows padded, long ones cut, empty ones dropped."""
-    lines = F.filter(F.split("content", "\n"), lambda x: T.strip(x) != "")
-    t = blocks.filter("kind = 'table'").withColumn("ls", lines).filter(F.size("ls") >= 2)
-    t = t.withColumn("header", table_cells(F.element_at("ls", 1)))
+    Short rows are padded, long ones cut, empty ones dropped. A table without a separator,
+    without a line on either side of it, or with empty names only has no rows.
+    """
+    lines = F.filter(F.transform(F.split(content, "\n"), T.strip), lambda x: x != "")
+    t = blocks.filter("kind = 'table'").withColumn("ls", lines)
+    t = t.withColumn("at", F.array_position(F.transform("ls", is_separator), True).cast("int")).filter((F.col("at") > 1) & (F.col("at") < F.size("ls")))
+    t = t.withColumn("header", table_cells(F.element_at("ls", F.col("at") - 1))).filter(F.exists("header", lambda h: h != ""))
     t = t.withColumn("names", F.transform("header", lambda h, i: F.when(h == "", F.concat(F.lit("UNNAMED_COLUMN_"), i.cast("string"))).otherwise(h)))
-    body = t.select(*keys, "names", F.posexplode(F.filter(F.slice("ls", 2, 1_000_000), lambda x: ~is_separator(x))).alias("p", "line"))
+    body = t.select(*keys, "names", F.posexplode(F.filter(F.slice("ls", F.col("at") + 1, F.size("ls")), lambda x: ~is_separator(x))).alias("p", "line"))
     cells = table_cells(F.col("line"))
     padded = F.transform(F.sequence(F.lit(1), F.size("names")), lambda i: F.coalesce(F.try_element_at(cells, i), F.lit("")))
     return body.select(*keys, (F.col("p") + 1).alias("row_no"), "names", padded.alias("cells")).filter(F.exists("cells", lambda c: c != ""))
@@ -60,15 +69,47 @@ def row_prose(names: Column, cells: Column) -> Column:
     return F.array_join(F.transform(pairs, lambda p: F.concat(p["n"], F.lit(": "), p["c"])), ", ")
 
 
+def table_sentences(blocks: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
+    """``keys, row_no, sentence``: rows as ``name=cell, ...``; rows with another number of cells than names are dropped."""
+    lines = F.filter(F.transform(F.split(content, "\n"), T.strip), lambda x: x != "")
+    t = blocks.filter("kind = 'table'").withColumn("ls", lines)
+    t = t.withColumn("at", F.array_position(F.transform("ls", is_separator), True).cast("int")).filter((F.col("at") > 1) & (F.col("at") < F.size("ls")))
+    t = t.withColumn("names", table_cells(F.element_at("ls", F.col("at") - 1)))
+    body = t.select(*keys, "names", F.posexplode(F.filter(F.slice("ls", F.col("at") + 1, F.size("ls")), lambda x: ~is_separator(x))).alias("p", "line")).withColumn("cells", table_cells(F.col("line"))).filter("size(cells) = size(names)")
+    pairs = F.transform(F.arrays_zip(F.col("names").alias("n"), F.col("cells").alias("c")), lambda p: F.concat(p["n"], F.lit("="), p["c"]))
+    return body.select(*keys, (F.col("p") + 1).alias("row_no"), F.array_join(pairs, ", ").alias("sentence"))
+
+
+def frame_markdown(df: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:
+    """``key, markdown``: the rows of each key as one Markdown table; null cells are empty, line breaks blanks."""
+    cells = [T.strip(F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), "\n+", " ")) for c in columns]
+    row = F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    head = "| " + " | ".join(columns) + " |\n|" + "---|" * len(columns)
+    rows = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), row.alias("r")))), lambda x: x["r"])
+    return df.groupBy(key).agg(F.concat(F.lit(head + "\n"), F.array_join(rows, "\n")).alias("markdown"))
+
+
 def heading_paths(headings: DataFrame, key: str, order: str, title: str, level: str) -> DataFrame:
-    """``path``: the titles of the open headings, a heading closing all of its level and deeper ones."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    stack = F.aggregate(
-        F.collect_list(F.struct(F.col(level).alias("level"), F.col(title).alias("title"))).over(w),
-        F.array().cast("array<struct<level:int,title:string>>"),
-        lambda open_, h: F.concat(F.filter(open_, lambda o: o["level"] < h["level"]), F.array(F.struct(h["level"].alias("level"), h["title"].alias("title")))),
-    )
-    return headings.withColumn("path", F.array_join(F.transform(stack, lambda s: s["title"]), " > "))
+    """``key, order, path``: the titles of the open headings, a heading closing all of its level and deeper ones.
+
+    One fold over the headings of a document, in order; work grows with their number.
+    """
+    kind = dict(headings.dtypes)
+    rows = headings.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(level).alias("l"), F.col(title).alias("t")))).alias("hs"))
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for k, hs in zip(batch[key], batch["hs"]):
+                open_: list[tuple[int, str]] = []
+                for h in hs:
+                    while open_ and open_[-1][0] >= h["l"]:
+                        open_.pop()
+                    open_.append((h["l"], h["t"]))
+                    out.append((k, h["o"], " > ".join(t for _, t in open_)))
+            yield pd.DataFrame(out, columns=[key, order, "path"])
+
+    return rows.mapInPandas(fold, f"{key} {kind[key]}, {order} {kind[order]}, path string")
 
 
 def window_chunks(df: DataFrame, key: str, text: str, size: int = 100, overlap: int = 20) -> DataFrame:
@@ -131,21 +172,22 @@ def batch_rows(rows: DataFrame, keys: list[str], order: str, size: str, most: in
     return rows.select(*keys, order, size).groupBy(*keys).applyInPandas(pack, schema)
 
 
-def merge_small(chunks: DataFrame, by: str, order: str, size: str, text: str, least: int = 60) -> DataFrame:
-    """Small chunks joined with the next one of the same file, in one pass of pairs: ``by, order, tokens, text``."""
-    kind = dict(chunks.dtypes)
-
-    def merge(own: pd.DataFrame) -> pd.DataFrame:
-        rows = own.sort_values([order, text]).to_dict("records")
-        out, i = [], 0
-        while i < len(rows):
-            r = rows[i]
-            if r[size] < least and i + 1 < len(rows) and not r["is_table"] and not rows[i + 1]["is_table"]:
-                n = rows[i + 1]
-                r = {**r, size: r[size] + n[size], text: f"{r[text]}\n\n{n[text]}"}
-                i += 1
-            out.append(r)
-            i += 1
-        return pd.DataFrame(out)[[by, order, size, text]]
-
-    return chunks.select(by, order, size, text, F.coalesce("is_table", F.lit(False)).alias("is_table")).groupBy(by).applyInPandas(merge, f"{by} {kind[by]}, {order} {kind[order]}, {size} bigint, {text} string")
+def merge_small(chunks: DataFrame, by: str, order: list[str], size: str, text: str, least: int = 60, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Small chunks joined with the next one of the same file, in one pass of pairs: ``by, order, keep, size, text``.
+
+    A chunk is joined if it has under ``least`` tokens and neither it nor the next is a
+    table; one that was joined to the one before starts no pair. In a run of chunks each of
+    which could take the next, it is every other one, so windows suffice.
+    """
+    w = Window.partitionBy(by).orderBy(*order)
+    table = F.coalesce(F.col("is_table"), F.lit(False))
+    c = chunks.withColumn("__link", F.coalesce((F.col(size) < least) & ~table & ~F.lead(table).over(w), F.lit(False)))
+    c = c.withColumn("__run", F.sum((~F.coalesce(F.lag("__link").over(w), F.lit(False))).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    c = c.withColumn("__next", F.lead(F.struct(size, text)).over(w)).withColumn("__at", F.row_number().over(Window.partitionBy(by, "__run").orderBy(*order)))
+    c = c.filter("__at % 2 = 1")
+    n = F.col("__next")
+    return c.select(
+        by, *order, *keep,
+        F.when(F.col("__link"), F.col(size) + n[size]).otherwise(F.col(size)).cast("long").alias(size),
+        F.when(F.col("__link"), F.concat_ws("\n", text, n[text])).otherwise(F.col(text)).alias(text),
+    )

@@ -6,22 +6,31 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from veldra.functions import text as T
 
-#: Relations are kept from this confidence on.
+#: Relations are kept from this confidence on; what their names look like is a fixed value.
 LEAST_CONFIDENCE = 0.90
+RELATION_NAME = "^[A-Z_][A-Z0-9_]*$"
 
 
-def khop(edges: DataFrame, seeds: DataFrame, hops: int = 3) -> DataFrame:
+def khop(edges: DataFrame, seeds: DataFrame, hops: int = 3, names: DataFrame | None = None, kind: str | None = None) -> DataFrame:
     """``seed, node, hops, strengths, path``: trails of 1 to ``hops`` edges from the seeds, either way along an edge.
 
     An edge occurs once in a trail, a node may come again. ``edges``: edge_id, src, dst,
-    strength. Each hop is one equi-join on the node reached.
+    strength. Each hop is one equi-join on the node reached. Seeds may have the node they
+    begin at in ``start``. With ``names`` (entity_key, name) and ``kind`` (a column of the edges)
+    the trail as ``text``, too: ``(a) --[KIND]--> (b)``.
     """
-    both = edges.select("edge_id", F.col("src").alias("at"), F.col("dst").alias("to"), "strength").unionByName(edges.filter("src <> dst").select("edge_id", F.col("dst").alias("at"), F.col("src").alias("to"), "strength"))
-    now = seeds.select("seed", F.col("seed").alias("node"), F.array().cast("array<double>").alias("strengths"), F.array().cast("array<string>").alias("path"))
+    extra = [F.col(kind).alias("kind")] if kind else []
+    both = edges.select("edge_id", F.col("src").alias("at"), F.col("dst").alias("to"), "strength", *extra).unionByName(edges.filter("src <> dst").select("edge_id", F.col("dst").alias("at"), F.col("src").alias("to"), "strength", *extra))
+    start = F.col("start") if "start" in seeds.columns else F.col("seed")
+    now = seeds.select("seed", start.alias("node"), F.array().cast("array<double>").alias("strengths"), F.array().cast("array<string>").alias("path"))
+    if names is not None:
+        both = both.join(names.select(F.col("entity_key").alias("to"), F.col("name").alias("to_name")), "to", "left")
+        now = now.join(names.select(F.col("entity_key").alias("node"), F.concat(F.lit("("), F.coalesce("name", F.lit("")), F.lit(")")).alias("text")), "node", "left")
     out = None
     for h in range(1, hops + 1):
         now = now.join(both, now["node"] == both["at"]).filter(~F.array_contains("path", F.col("edge_id").cast("string")))
-        now = now.select("seed", F.col("to").alias("node"), F.concat("strengths", F.array("strength")).alias("strengths"), F.concat("path", F.array(F.col("edge_id").cast("string"))).alias("path"))
+        text = [] if names is None else [F.concat(F.coalesce("text", F.lit("()")), F.lit(" --["), "kind", F.lit("]--> ("), F.coalesce("to_name", F.lit("")), F.lit(")")).alias("text")]
+        now = now.select("seed", F.col("to").alias("node"), F.concat("strengths", F.array("strength")).alias("strengths"), F.concat("path", F.array(F.col("edge_id").cast("string"))).alias("path"), *text)
         step = now.withColumn("hops", F.lit(h))
         out = step if out is None else out.unionByName(step)
     return out
@@ -53,16 +62,20 @@ def orphans(entities: DataFrame, mentions: DataFrame, key: str = "key") -> DataF
 
 
 def merge_relations(rows: DataFrame) -> DataFrame:
-    """One row for each (src, relation, dst): highest confidence, count, evidence joined in order."""
-    parts = F.array_sort(F.collect_set("evidence"))
-    return rows.groupBy("src", "relation", "dst").agg(F.max("confidence").alias("confidence"), F.count("*").alias("count"), F.array_join(F.slice(parts, 1, 5), " | ").alias("evidence"))
+    """One row for each (src, relation, dst): highest confidence, count, all different evidence joined in order.
+
+    Equal pieces of evidence are counted before the pieces of a relation are gathered.
+    """
+    pieces = rows.groupBy("src", "relation", "dst", "evidence").agg(F.max("confidence").alias("confidence"), F.count("*").alias("n"))
+    parts = F.array_sort(F.collect_list("evidence"))
+    return pieces.groupBy("src", "relation", "dst").agg(F.max("confidence").alias("confidence"), F.sum("n").alias("count"), F.array_join(parts, " | ").alias("evidence"))
 
 
 def validate_relations(rows: DataFrame, entities: DataFrame) -> DataFrame:
     """Well named relations between two different known entities, sure enough, with evidence found in the source."""
     known = entities.select(F.col("key").alias("__k")).distinct()
     ok = rows.withColumn("confidence", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "confidence")))
-    ok = ok.filter(F.col("relation").rlike("^[A-Z][A-Z0-9_]*$") & (F.col("src") != F.col("dst")) & (F.col("confidence") >= LEAST_CONFIDENCE) & T.evidence_supported(F.col("evidence"), F.col("source")))
+    ok = ok.filter(F.col("relation").rlike(RELATION_NAME) & (F.col("src") != F.col("dst")) & (F.col("confidence") >= LEAST_CONFIDENCE) & T.evidence_supported(F.col("evidence"), F.col("source")))
     for end in ("src", "dst"):
         ok = ok.join(known, ok[end] == F.col("__k"), "left_semi")
     return ok

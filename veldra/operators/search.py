@@ -91,16 +91,75 @@ def earliest_alike(base: DataFrame, queries: DataFrame, least: float, id_col: st
     return _scored(base, queries, first, id_col, vector_col, query_col).groupBy("query_id").agg(F.min("id").alias("hit"))
 
 
+class SparseQueries:
+    """A block of sparse queries by term, and their dot products with rows."""
+
+    def __init__(self, vectors: list[dict]) -> None:
+        self.n = len(vectors)
+        query = np.repeat(np.arange(self.n), [len(v) for v in vectors]) if self.n else np.zeros(0, np.int64)
+        term = np.array([t for v in vectors for t in v], np.int64)
+        weight = np.array([w for v in vectors for w in v.values()], np.float64)
+        order = np.argsort(term, kind="stable")
+        self.query, self.weight = query[order], weight[order]
+        self.terms, self.begin = np.unique(term[order], return_index=True)
+        self.begin = np.append(self.begin, len(term))
+
+    def scores(self, maps: pa.MapArray, most: int = 4_000_000) -> Iterator[tuple[int, np.ndarray]]:
+        """(first row, scores of the queries by row, 6 decimals, -inf without a common term), for runs of rows."""
+        offsets = maps.offsets.to_numpy()
+        keys, items = maps.keys.to_numpy(zero_copy_only=False).astype(np.int64), maps.items.to_numpy(zero_copy_only=False).astype(np.float64)
+        step = max(1, most // max(self.n, 1))
+        for lo in range(0, len(maps), step):
+            hi = min(lo + step, len(maps))
+            own = slice(offsets[lo], offsets[hi])
+            row = np.repeat(np.arange(hi - lo), np.diff(offsets[lo : hi + 1]))
+            at = np.searchsorted(self.terms, keys[own])
+            at[at == len(self.terms)] = 0
+            good = self.terms[at] == keys[own] if len(self.terms) else np.zeros(len(at), bool)
+            row, at, w = row[good], at[good], items[own][good]
+            count = self.begin[at + 1] - self.begin[at]
+            posting = np.repeat(self.begin[at] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            cell = self.query[posting] * (hi - lo) + np.repeat(row, count)
+            total = np.bincount(cell, self.weight[posting] * np.repeat(w, count), self.n * (hi - lo))
+            met = np.zeros(self.n * (hi - lo), bool)
+            met[cell] = True
+            yield lo, np.where(met, np.round(total, 6), -np.inf).reshape(self.n, hi - lo)
+
+
+def best_cells(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) of each query's k highest finite scores, and of all that equal the k-th: ties are settled by id later."""
+    n = min(k, score.shape[1])
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    least = np.partition(score, score.shape[1] - n, axis=1)[:, score.shape[1] - n]
+    return np.nonzero((score >= least[:, None]) & np.isfinite(score))
+
+
 def sparse_topk(base: DataFrame, queries: DataFrame, k: int, id_col: str = "id", sparse_col: str = "sparse", query_col: str = "query_id") -> DataFrame:
     """``query_id, id, score, rank``: the k rows with the highest dot product of sparse vectors.
 
-    An equi-join of postings on the term; products are added up for each query and row
-    before the k best are taken. Rows without a common term aren't found.
+    Exact. The queries are sent in blocks, by term; every task adds up its rows' products and
+    keeps the k best for each query, so a term in very many rows is no hot key and no
+    posting is shuffled. Rows without a common term aren't found. Null vectors take no part.
     """
-    q = queries.select(F.col(query_col).alias("query_id"), F.explode(sparse_col).alias("term", "q_weight"))
-    d = base.select(F.col(id_col).alias("id"), F.explode(sparse_col).alias("term", "weight"))
-    score = F.round(F.sum(F.col("q_weight").cast("double") * F.col("weight").cast("double")), 6)
-    return top(d.join(q, "term").groupBy("query_id", "id").agg(score.alias("score")), ["query_id"], [F.desc("score"), F.asc("id")], k)
+    q_type = to_arrow_type(queries.schema[query_col].dataType)
+    kinds = dict(base.dtypes)[id_col], dict(queries.dtypes)[query_col]
+    wanted = queries.select(F.col(query_col).alias("q"), F.map_entries(F.col(sparse_col).cast("map<bigint,double>")).alias("s")).filter(F.col("q").isNotNull() & F.col("s").isNotNull()).dropDuplicates(["q"])
+    passes = max(1, -(-wanted.count() // QUERIES_PER_PASS))
+    rows = base.select(F.col(id_col).alias("id"), F.col(sparse_col).cast("map<bigint,double>").alias("s")).filter("s is not null")
+    parts = []
+    for p in range(passes):
+        own = wanted.filter(F.pmod(F.xxhash64("q"), F.lit(passes)) == p).orderBy("q").collect()
+        ids, block = [r["q"] for r in own], SparseQueries([{e["key"]: e["value"] for e in r["s"]} for r in own])
+
+        def search(batches: Iterator[pa.RecordBatch], ids: list = ids, block: SparseQueries = block) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for lo, score in block.scores(batch.column("s")):
+                    row, col = best_cells(score, k)
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[r] for r in row], q_type), batch.column("id").take(pa.array(lo + col)), pa.array(score[row, col])], ["query_id", "id", "score"])
+
+        parts.append(rows.mapInArrow(search, f"query_id {kinds[1]}, id {kinds[0]}, score double"))
+    return top(reduce(DataFrame.unionByName, parts), ["query_id"], [F.desc("score"), F.asc("id")], k)
 
 
 def minmax(df: DataFrame, col: str, by: str = "query_id") -> Column:

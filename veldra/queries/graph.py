@@ -174,17 +174,6 @@ def dual_keys(spark, d):
     return both.groupBy("key").agg(F.min("pos").alias("pos"))
 
 
-def graph_merge(spark, d):
-    """Search hits and graph candidates (each third chunk of a query's file): scores and the channel they came by."""
-    h = Q.hits(spark, d).select("query_id", "id", "score")
-    c = Q.chunks(spark, d)
-    q = c.filter(Q.QUERY_FILTER).select(F.col("chunk_id").alias("query_id"), "source_file", F.col("chunk_index").alias("q"))
-    g = q.join(c.select("source_file", F.col("chunk_id").alias("id"), "chunk_index"), "source_file").filter("chunk_index between q and q + 30 and chunk_index % 3 = 0").select("query_id", "id", F.round(1 / (1 + F.col("chunk_index") - F.col("q")), 6).alias("graph_score"))
-    both = h.join(g, ["query_id", "id"], "full_outer")
-    channel = F.when(F.col("score").isNull(), "graph").when(F.col("graph_score").isNull(), "hybrid").otherwise("hybrid_graph")
-    return both.select("query_id", "id", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("graph_score", F.lit(0.0)).alias("graph_score"), channel.alias("channel"))
-
-
 def gleaning(spark, d):
     """Second-pass entities whose names are new, after those of the first."""
     e = entities(spark, d).select("entity_key", F.lower("name").alias("n")).filter("n is not null")
@@ -209,7 +198,6 @@ QUERIES = {
     "entity_resolution": resolution,
     "dual_level_keys": dual_keys,
     "relationship_union": lambda spark, d: places(spark, d).filter("confidence >= 0.93").select("src", "relation", "dst").unionByName(places(spark, d).filter("count >= 3").select("src", "relation", "dst")).distinct(),
-    "graph_merge": graph_merge,
     "gleaning_merge": gleaning,
     "entity_text": lambda spark, d: entities(spark, d).select("entity_key", F.concat_ws(" ", "name", F.concat(F.lit("("), F.upper("type"), F.lit(")")), "description").alias("text")),
     "relationship_text": lambda spark, d: places(spark, d).select("edge_id", F.concat_ws(" ", "src", F.lower(F.regexp_replace("relation", "_", " ")), "dst").alias("text")),
@@ -237,7 +225,7 @@ SQL = {
     "orphan_entities": "SELECT 'P' || p_partkey AS key FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 48)",
     "mention_counts": "SELECT l_orderkey AS chunk_key, l_partkey AS entity_key, count(*) AS count FROM lineitem GROUP BY ALL",
     "relation_merge": f"WITH {_REL} SELECT src, relation, dst, round(max(confidence), 6) AS confidence, count(*) AS count, any_value(evidence) AS evidence FROM rl GROUP BY src, relation, dst",
-    "relation_validation": f"WITH {_REL} SELECT src, relation, dst, count(*) AS n FROM rl WHERE regexp_full_match(relation, '[A-Z][A-Z0-9_]*') AND least(confidence, 1) >= 0.9 AND supported AND src IN (SELECT 'S' || s_suppkey FROM supplier) AND dst IN (SELECT 'P' || p_partkey FROM part) GROUP BY ALL",
+    "relation_validation": f"WITH {_REL} SELECT src, relation, dst, count(*) AS n FROM rl WHERE regexp_full_match(relation, '[A-Z_][A-Z0-9_]*') AND least(confidence, 1) >= 0.9 AND supported AND src IN (SELECT 'S' || s_suppkey FROM supplier) AND dst IN (SELECT 'P' || p_partkey FROM part) GROUP BY ALL",
     "evidence_support": f"WITH {_REL} SELECT supported, count(*) AS n FROM rl GROUP BY ALL",
     "entity_merge": """WITH d AS (SELECT name_norm, min(effective_date) AS first_date, coalesce(array_to_string(list_sort(list(DISTINCT description) FILTER (description IS NOT NULL)), ' '), '') AS description FROM g_entity WHERE name_norm <> '' GROUP BY 1),
 a AS (SELECT name_norm, array_to_string(list_sort(list(DISTINCT alias)), '|') AS aliases FROM (SELECT name_norm, unnest(aliases) AS alias FROM g_entity WHERE name_norm <> '') WHERE alias IS NOT NULL GROUP BY 1)
@@ -246,15 +234,11 @@ SELECT name_norm, first_date, description, coalesce(aliases, '') AS aliases FROM
     "alias_resolution": f"""WITH {_EN}, x AS (SELECT entity_key, {normalize_sql('name')} AS norm, aliases FROM en), u AS (SELECT entity_key, norm, unnest(aliases) AS alias FROM x),
 v AS (SELECT *, {normalize_sql('alias')} AS alias_norm FROM u), t AS (SELECT DISTINCT ON (alias_norm) alias_norm, norm AS canonical FROM v WHERE alias_norm <> '' AND norm <> '' AND alias_norm <> norm ORDER BY alias_norm, norm, entity_key)
 SELECT entity_key, coalesce(canonical, norm) AS name FROM x LEFT JOIN t ON norm = alias_norm""",
-    "semantic_entity_merge": f"""WITH {_EN}, v AS (SELECT entity_key, upper(type) AS type, embedding::DOUBLE[8] AS e, array_to_string(list_transform(embedding[1:4], lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS signs FROM en WHERE len(embedding) = 8 AND type IS NOT NULL),
-p AS (SELECT a.entity_key, b.entity_key AS other, round(array_cosine_similarity(a.e, b.e), 6) AS cosine FROM v a JOIN v b ON a.type = b.type AND a.signs = b.signs AND a.entity_key <> b.entity_key)
+    "semantic_entity_merge": f"""WITH {_EN}, v AS (SELECT entity_key, upper(type) AS type, embedding::DOUBLE[8] AS e FROM en WHERE len(embedding) = 8 AND type IS NOT NULL),
+p AS (SELECT a.entity_key, b.entity_key AS other, round(array_cosine_similarity(a.e, b.e), 6) AS cosine FROM v a JOIN v b ON a.type = b.type AND a.entity_key <> b.entity_key)
 SELECT DISTINCT ON (entity_key) entity_key, other, cosine FROM p WHERE cosine >= 0.85 ORDER BY entity_key, cosine DESC, other""",
     "dual_level_keys": f"WITH {PL}, l AS (SELECT * FROM pl WHERE relation = 'LOCATED_IN') SELECT key, min(pos)::INT AS pos FROM (SELECT src AS key, 0 AS pos FROM l WHERE src <= 'S3' UNION ALL SELECT src, 1 FROM l WHERE confidence >= 0.95 UNION ALL SELECT dst, 2 FROM l WHERE confidence >= 0.95) GROUP BY key",
     "relationship_union": f"WITH {PL} SELECT src, relation, dst FROM pl WHERE confidence >= 0.93 UNION SELECT src, relation, dst FROM pl WHERE count >= 3",
-    "graph_merge": f"""WITH {Q.fused()}, q AS (SELECT chunk_id AS query_id, source_file, chunk_index AS qi FROM c WHERE {Q.QUERY_SQL}),
-g AS (SELECT query_id, chunk_id AS id, round(1 / (1 + chunk_index - qi), 6) AS graph_score FROM q JOIN c USING (source_file) WHERE chunk_index BETWEEN qi AND qi + 30 AND chunk_index % 3 = 0)
-SELECT coalesce(h.query_id, g.query_id) AS query_id, coalesce(h.id, g.id) AS id, coalesce(h.score, 0) AS score, coalesce(g.graph_score, 0) AS graph_score,
-  CASE WHEN h.id IS NULL THEN 'graph' WHEN g.id IS NULL THEN 'hybrid' ELSE 'hybrid_graph' END AS channel FROM h FULL JOIN g ON h.query_id = g.query_id AND h.id = g.id""",
     "gleaning_merge": f"WITH {_EN}, x AS (SELECT entity_key, lower(name) AS n FROM en WHERE name IS NOT NULL) SELECT entity_key, n FROM x WHERE entity_key LIKE 'PERSON%' OR n NOT IN (SELECT n FROM x WHERE entity_key LIKE 'PERSON%')",
     "entity_text": f"WITH {_EN} SELECT entity_key, concat_ws(' ', name, '(' || upper(type) || ')', description) AS text FROM en",
     "relationship_text": f"WITH {PL} SELECT edge_id, concat_ws(' ', src, lower(replace(relation, '_', ' ')), dst) AS text FROM pl",

@@ -8,8 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from veldra.functions import text as T
-from veldra.operators import ranking as R, search as S
-from veldra.plans import retrieve as P
+from veldra.operators import layout as L, ranking as R, search as S
+from veldra.operators.pairs import equal_blocks
 from veldra.queries import search as Q
 from veldra.storage import stage
 from veldra.tables import chunks, table
@@ -77,11 +77,13 @@ def near_dup(spark, d):
     """Pairs of one fingerprint whose character shingles are alike in 0.85 of all.
 
     Texts over 500 characters have shingles of 12, shorter ones of 6; the two kinds have
-    none in common. Shingles are made for the pairs only, so that texts alone are shuffled.
+    none in common. Texts equal but for case and white space are one class and give one
+    row with the class; shingles are made for pairs of classes only, so that texts alone are shuffled.
     """
-    c = chunks(spark, d).filter("length(text) >= 6").select("chunk_id", F.lower("text").alias("t"), T.fingerprint(F.col("text")).alias("f"), F.expr("if(length(text) > 500, 12, 6)").alias("n"))
-    pairs = c.alias("a").join(c.alias("b"), F.expr("a.f = b.f and a.n = b.n and a.chunk_id < b.chunk_id"))
-    pairs = pairs.select(F.col("a.chunk_id").alias("a"), F.col("b.chunk_id").alias("b"), F.col("a.n").alias("n"), F.col("a.t").alias("one"), F.col("b.t").alias("two"))
+    t = F.lower(F.regexp_replace(T.strip(F.col("text")), r"[ \t\n\r\f\x0B]+", " "))
+    c = chunks(spark, d).select("chunk_id", t.alias("t"), T.fingerprint(F.col("text")).alias("f"), T.shingle_size(F.col("text")).alias("n")).filter("length(t) >= 6")
+    c = c.groupBy("f", "n", "t").agg(F.min("chunk_id").alias("chunk_id"))
+    pairs = equal_blocks(c, ["f", "n"], "chunk_id", ["t"]).select("a", "b", "n", F.col("t_a").alias("one"), F.col("t_b").alias("two"))
 
     def shingles(t: str, n: int) -> set[str]:
         return {t[i : i + n] for i in range(len(t) - n + 1)}
@@ -102,11 +104,18 @@ def near_dup(spark, d):
     return pairs.mapInPandas(verify, "a string, b string, similarity double")
 
 
+def near_classes(spark, d):
+    """The class of each chunk: the least chunk of those whose text is equal but for case and white space."""
+    t = F.lower(F.regexp_replace(T.strip(F.col("text")), r"[ \t\n\r\f\x0B]+", " "))
+    c = chunks(spark, d).select("chunk_id", F.md5(t).alias("h"), T.fingerprint(F.col("text")).alias("f"), T.shingle_size(F.col("text")).alias("n"), F.length(t).alias("l")).filter("l >= 6")
+    return c.withColumn("class", F.min("chunk_id").over(Window.partitionBy("h", "f", "n"))).select("chunk_id", "class")
+
+
 def containment(spark, d):
-    """Texts of a page's blocks contained whole in another of the page, at least 100 characters."""
-    b = table(spark, d, "blocks").distinct().filter("length(content) >= 20")
-    pairs = b.alias("a").join(b.alias("b"), F.expr("a.doc_id = b.doc_id and a.page_no = b.page_no and a.block_index <> b.block_index and length(a.content) < length(b.content) and contains(b.content, a.content)"))
-    return pairs.select(F.col("a.doc_id").alias("doc_id"), F.col("a.block_index").alias("inner_index"), F.col("b.block_index").alias("outer_index"))
+    """Blocks of a scanned page that stay when repeated texts and those that hold nearly all of an earlier one go; each block comes again with a letter more."""
+    b = table(spark, d, "blocks").distinct().filter("content is not null").select("doc_id", "page_no", "block_index", "content")
+    again = b.select("doc_id", "page_no", (F.col("block_index") + 100_000).alias("block_index"), F.concat("content", F.when(F.pmod("block_index", F.lit(2)) == 0, F.lit(" x")).otherwise(F.lit("  "))).alias("content"))
+    return L.dedup_texts(b.unionByName(again), ["doc_id", "page_no"], "block_index", "content").select("doc_id", "page_no", "block_index")
 
 
 QUERIES = {
@@ -115,6 +124,7 @@ QUERIES = {
     "exact_dedup": exact_dedup,
     "context_dedup": lambda spark, d: R.dedup_max(hits(spark, d).withColumn("h", F.md5(F.lower(T.strip(F.coalesce("text", F.lit("")))))), ["query_id", "h"], [F.asc("rank")]).select("query_id", "id"),
     "near_dup_pairs": near_dup,
+    "near_dup_classes": near_classes,
     "containment_dedup": containment,
     "rerank_sigmoid": rerank,
     "score_boosts": lambda spark, d: boosted(spark, d).select("query_id", "id", "boosted"),
@@ -131,11 +141,6 @@ QUERIES = {
     "context_block_synthesize": lambda spark, d: context_block(spark, d, 2),
     "context_block_compare": compare_block,
     "neighbor_expansion": lambda spark, d: R.neighbours(stage(hits(spark, d), "hits"), chunks(spark, d)),
-    "retrieve_single": P.single,
-    "retrieve_few": P.few,
-    "retrieve_broad": P.broad,
-    "assemble_context": P.assemble,
-    "query_trace": P.trace,
 }
 
 H = f"""{Q.fused()},
@@ -170,10 +175,13 @@ SQL = {
     "dedup_max_score": f"WITH {H} SELECT DISTINCT ON (id) id, query_id, score FROM x ORDER BY id, score DESC, query_id",
     "exact_dedup": f"WITH {Q.C} SELECT chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY md5(lower(regexp_replace({_STRIP.format(c='text')}, '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g'))) ORDER BY source_file NULLS FIRST, chunk_index NULLS FIRST, chunk_id) AS n FROM c WHERE text IS NOT NULL) WHERE n = 1",
     "context_dedup": f"WITH {H} SELECT query_id, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id, md5(lower({_STRIP.format(c=chr(99) + 'oalesce(text, chr(32))')})) ORDER BY rank) AS n FROM x) WHERE n = 1",
-    "near_dup_pairs": f"""WITH {Q.C}, s AS (SELECT chunk_id, {_FP} AS f, list_distinct(list_transform(range(1, length(text) - 4), lambda i: substr(lower(text), i, 6))) AS s FROM c WHERE length(text) BETWEEN 6 AND 500)
-SELECT a.chunk_id AS a, b.chunk_id AS b, round(len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))), 6) AS similarity FROM s a JOIN s b ON a.f = b.f AND a.chunk_id < b.chunk_id
-WHERE round(len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))), 6) >= 0.85""",
-    "containment_dedup": "WITH b AS (SELECT DISTINCT * FROM blocks WHERE length(content) >= 20) SELECT a.doc_id, a.block_index AS inner_index, b.block_index AS outer_index FROM b a JOIN b ON a.doc_id = b.doc_id AND a.page_no = b.page_no AND a.block_index <> b.block_index AND length(a.content) < length(b.content) AND contains(b.content, a.content)",
+    "near_dup_pairs": f"""WITH {Q.C}, l AS (SELECT chunk_id, {_FP} AS f, CASE WHEN length(text) > 500 THEN 12 ELSE 6 END AS n, lower(regexp_replace({_STRIP.format(c='text')}, '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g')) AS t FROM c),
+k AS (SELECT f, n, t, min(chunk_id) AS chunk_id FROM l WHERE length(t) >= 6 GROUP BY ALL),
+s AS (SELECT chunk_id, f, n, list_distinct(list_transform(range(1, length(t) - n + 2), lambda i: substr(t, i, n))) AS s FROM k WHERE (f, n) IN (SELECT (f, n) FROM k GROUP BY f, n HAVING count(*) > 1)),
+p AS (SELECT a.chunk_id AS a, b.chunk_id AS b, len(list_intersect(a.s, b.s)) AS i, len(a.s) + len(b.s) AS u FROM s a JOIN s b ON a.f = b.f AND a.n = b.n AND a.chunk_id < b.chunk_id)
+SELECT a, b, round(i / greatest(u - i, 1), 6) AS similarity FROM p WHERE round(i / greatest(u - i, 1), 6) >= 0.85""",
+    "near_dup_classes": f"""WITH {Q.C}, l AS (SELECT chunk_id, {_FP} AS f, CASE WHEN length(text) > 500 THEN 12 ELSE 6 END AS n, lower(regexp_replace({_STRIP.format(c='text')}, '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g')) AS t FROM c)
+SELECT chunk_id, min(chunk_id) OVER (PARTITION BY f, n, t) AS class FROM l WHERE length(t) >= 6""",
     "rerank_sigmoid": f"""WITH {H}, t AS (SELECT x.query_id, x.id, {_ANSWER.format(c='q.text')} AS q, {_ANSWER.format(c='x.text')} AS a FROM x JOIN c q ON q.chunk_id = x.query_id)
 SELECT query_id, id, round(1 / (1 + exp(-(10 * CASE WHEN len(q) = 0 OR len(a) = 0 THEN 0 ELSE len(list_intersect(q, a)) / len(q) END - 5))), 6) AS rerank_score FROM t""",
     "score_boosts": f"WITH {H} SELECT query_id, id, round(score + {BOOST_SQL}, 8) AS boosted FROM x",
@@ -196,5 +204,4 @@ SELECT n.query_id, n.source_file, coalesce(l.pages, '') AS pages, n.chunks FROM
 f AS (SELECT w.query_id, c.chunk_id, w.score, w.anchor, row_number() OVER (PARTITION BY w.query_id, c.chunk_id ORDER BY w.rank, w.anchor) AS n FROM w JOIN c ON c.source_file = w.source_file AND c.chunk_index = w.ci
   WHERE NOT EXISTS (FROM x WHERE x.query_id = w.query_id AND x.id = c.chunk_id))
 SELECT query_id, chunk_id, round(score - 0.05, 8) AS score, anchor FROM f WHERE n = 1""",
-    **P.sql(H, BOOST_SQL),
 }

@@ -43,9 +43,10 @@ def relaxation(spark, d):
 
 
 def semantic_cache(spark, d):
-    """For each query vector the earliest earlier one with a cosine of at least 0.95."""
-    e = table(spark, d, "embeddings")
-    return S.earliest_alike(e, e.filter("vec_id % 100 = 0"), 0.95, "vec_id", "embedding", "vec_id")
+    """For each query vector the earliest earlier one with a cosine of at least 0.95; chunks with whole vectors, in the order of their number."""
+    v = chunks(spark, d).filter("size(dense) = 64").select(F.conv(F.substring("chunk_id", 1, 8), 16, 10).cast("bigint").alias("n"), F.col("dense").alias("v"))
+    v = v.groupBy("n").agg(F.min_by("v", F.xxhash64("v")).alias("v"), F.count("*").alias("c")).filter("c = 1")
+    return S.earliest_alike(v, v.filter("n % 10 = 0"), 0.95, "n", "v", "n")
 
 
 QUERIES = {
@@ -102,7 +103,7 @@ SQL = {
     "dense_topk": _EK + "10",
     "cosine": "SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id + 1 = b.vec_id",
     "l2_normalize": "SELECT vec_id, (generate_subscripts(embedding, 1) - 1)::INT AS i, round(unnest(embedding)::DOUBLE / n, 6) AS x FROM (SELECT *, sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y))) AS n FROM embeddings)",
-    "semantic_cache_hits": f"SELECT query_id, min(vec_id) AS hit FROM ({_EK}50) WHERE score >= 0.6 AND vec_id < query_id GROUP BY query_id",
+    "semantic_cache_hits": f"WITH {C}, w AS (SELECT ('0x' || chunk_id[1:8])::BIGINT AS n, any_value(dense) AS v FROM c WHERE {_VALID.format(n=64)} GROUP BY 1 HAVING count(*) = 1) SELECT q.n AS query_id, min(e.n) AS hit FROM w q JOIN w e ON e.n < q.n WHERE q.n % 10 = 0 AND round(array_cosine_similarity(q.v::DOUBLE[64], e.v::DOUBLE[64]), 6) >= 0.95 GROUP BY 1",
     "chunk_dense_topk": f"WITH {legs()} SELECT query_id, id, score, rank::INT AS rank FROM dl",
     "sparse_topk": f"WITH {legs()} SELECT query_id, id, score, rank::INT AS rank FROM sl",
     "minmax_normalize": f"WITH {legs()} SELECT query_id, id, round(CASE WHEN max(score) OVER q = min(score) OVER q THEN 0 ELSE (score - min(score) OVER q) / (max(score) OVER q - min(score) OVER q) END, 6) AS score FROM sl WINDOW q AS (PARTITION BY query_id)",
