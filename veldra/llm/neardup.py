@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from veldra.llm.banding import equal_pairs
 from veldra.llm.components import connected_components
 from veldra.llm.words import mix, run_hashes, run_starts, string_parts, word_hashes
 from veldra.storage import stage
@@ -134,10 +135,8 @@ class NearDuplicates:
         made = stage(rows_in.mapInArrow(_signatures(run, least_words, bands, rows), schema), "signatures")
         self.members = made.select("id", "set_id").distinct()
         sketches = [f"s{i}" for i in range(LONGS)]
-        # One exchange by band serves both sides of the join and drops what is left of the copies.
-        keyed = made.select(F.explode("bands").alias("band"), "set_id").repartition("band").dropDuplicates(["band", "set_id"])
-        meet = keyed.alias("a").join(keyed.alias("b"), F.expr("a.band = b.band and a.set_id < b.set_id"))
-        meet = meet.select(F.col("a.set_id").alias("set_a"), F.col("b.set_id").alias("set_b")).distinct()
+        # One exchange by band drops what is left of the copies; only bands of several classes go on, hot ones in blocks.
+        meet = equal_pairs(made.select(F.explode("bands").alias("band"), "set_id"), "band", "set_id").toDF("set_a", "set_b")
         # The estimate of odd sketches: n bits, k samples, d bits that differ.
         bits, samples = 64 * LONGS, bands * rows
         most = int(bits / 2 * (1 - math.exp(-4 * samples * (1 - max(threshold - MARGIN, 0)) / bits)))
