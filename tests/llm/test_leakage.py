@@ -3,6 +3,7 @@ import re
 import numpy as np
 import pytest
 
+from veldra.llm import leakage
 from veldra.llm.leakage import leak_report, leaked_items
 
 SCHEMA = "doc_id bigint, text string, item_id string"
@@ -68,4 +69,28 @@ def test_empty(spark):
     docs, items = spark.createDataFrame([], "doc_id bigint, text string"), spark.createDataFrame([], "item_id bigint, text string")
     some = spark.createDataFrame([(1, "a b")], "item_id bigint, text string")
     assert leaked_items(docs, items).count() == 0 and leaked_items(docs, some).count() == 0
-    assert leaked_items(some.toDF("doc_id", "text"), items).columns == ["doc_id", "item_id", "shared_runs", "score"]
+    assert leaked_items(some.toDF("doc_id", "text"), items).columns == ["doc_id", "item_id", "shared_runs", "score", "longest"]
+
+
+def test_longest_stretch_is_one_stretch(spark):
+    item = [f"i{k}" for k in range(60)]
+    docs = [
+        (1, " ".join(item[:12] + ["x"] + item[20:32] + ["y"] + item[40:52])),  # three runs apart
+        (2, " ".join(["a"] + item[5:40] + ["b"])),
+        (3, " ".join(item[:14] + item[30:43])),  # side by side in the text, apart in the item
+        (4, " ".join(["r"] * 30)),
+    ]
+    items = [(7, " ".join(item)), (8, " ".join(["r"] * 20)), (9, "too short")]
+    leaks = leaked_items(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    assert {(r.doc_id, r.item_id): r.longest for r in leaks.collect()} == {(1, 7): 12, (2, 7): 35, (3, 7): 14, (4, 8): 20}
+    report = {r.item_id: (r.documents, r.most_shared_words) for r in leak_report(leaks, spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert report == {7: (3, 35), 8: (1, 20), 9: (0, 0)}
+
+
+def test_many_items_in_one_scan(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "ITEMS_PER_PASS", 3)
+    monkeypatch.setattr(leakage, "INDEXES_PER_SCAN", 2)
+    items = [(i, " ".join(f"w{i}x{k}" for k in range(15))) for i in range(20)]
+    docs = [(i, "before " + t + " after") for i, t in items]
+    got = leaked_items(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(i, i) for i in range(20)}

@@ -14,13 +14,14 @@ query against it, answered by block-max WAND:
   of a batch move together, as arrays.
 * What is retrieved is verified: the passage and the item share a run of 12 words.
 
-The items are a stated query set. They are read in blocks of ``ITEMS_PER_PASS``, the
-most that is sent to the executors at once; more items take more passes.
+The items are a stated query set. They are indexed in blocks of ``ITEMS_PER_PASS``, of which
+``INDEXES_PER_SCAN`` are sent to the executors at once; more items take more scans.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,8 @@ RUN = 12
 PASSAGE = 24
 BLOCK = 2
 K1, B = 1.2, 0.75
-ITEMS_PER_PASS = 1_000
+#: Items of an index, and indexes sent to the tasks with one scan of the texts.
+ITEMS_PER_PASS, INDEXES_PER_SCAN = 1_000, 5
 #: Passages times blocks of items scored at once in a task.
 _CELLS = 200_000
 
@@ -83,8 +85,11 @@ class ItemIndex:
         self.b_begin = np.concatenate([[0], np.cumsum(np.bincount(b_of, minlength=len(b_pair)))])
         self.b_block, self.b_from = b_pair % blocks, np.searchsorted(b_pair // blocks, np.arange(v + 1))
         self.blocks = blocks
-        runs = run_hashes(words, RUN)[at]
-        self.item_runs = np.unique(mix(runs ^ (of.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))))
+        key = mix(run_hashes(words, RUN)[at] ^ (of.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        order = np.argsort(key, kind="stable")
+        self.item_runs, first = np.unique(key[order], return_index=True)
+        # Where each run stands in its item.
+        self.run_places, self.run_from = at[order], np.append(first, len(order))
 
     @staticmethod
     def _expand(rows: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,8 +153,19 @@ class ItemIndex:
             out.append((b[block // self.blocks], block % self.blocks * BLOCK + good % BLOCK, score[good]))
         return tuple(np.concatenate(x) for x in zip(*out)) if out else none
 
-    def leaks(self, words: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(text, item, runs of 12 shared, best score), one for each text and item that share a run."""
+    def _longest(self, places: np.ndarray, runs: np.ndarray) -> int:
+        """Words of the longest stretch shared with an item, from where its shared runs are in the text, in order, and which they are."""
+        best, before, last = 0, {}, -2
+        for at, r in zip(places.tolist(), runs.tolist()):
+            if at == last:
+                continue
+            here = self.run_places[self.run_from[r] : self.run_from[r + 1]].tolist()
+            before = {p: (before.get(p - 1, 0) if at == last + 1 else 0) + 1 for p in here}
+            best, last = max(best, *before.values()), at
+        return best + RUN - 1 if best else 0
+
+    def leaks(self, words: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, item, runs of 12 shared, best score, words of the longest shared stretch), one for each text and item that share a run."""
         begin, item, score = self.search(words, firsts)
         runs = run_hashes(words, RUN)
         text = np.searchsorted(firsts, begin, "right") - 1
@@ -161,12 +177,19 @@ class ItemIndex:
         key = mix(runs[at] ^ (item[r].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
         pos = np.searchsorted(self.item_runs, key)
         pos[pos == len(self.item_runs)] = 0
-        hits = np.bincount(r[self.item_runs[pos] == key], minlength=len(begin)) if len(key) else np.zeros(len(begin), np.int64)
+        found = self.item_runs[pos] == key if len(key) else np.zeros(0, bool)
+        hits = np.bincount(r[found], minlength=len(begin)) if len(key) else np.zeros(len(begin), np.int64)
         good = hits > 0
-        pair, of = np.unique(text[good] * max(self.n, 1) + item[good], return_inverse=True)
+        width = max(self.n, 1)
+        pair, of = np.unique(text[good] * width + item[good], return_inverse=True)
         best = np.zeros(len(pair))
         np.maximum.at(best, of, score[good])
-        return pair // max(self.n, 1), pair % max(self.n, 1), np.bincount(of, hits[good], len(pair)).astype(np.int64), best
+        owner, place, run = text[r[found]] * width + item[r[found]], at[found], pos[found]
+        order = np.lexsort((place, owner))
+        owner, place, run = owner[order], place[order], run[order]
+        cuts = np.searchsorted(owner, pair, "left"), np.searchsorted(owner, pair, "right")
+        longest = np.array([self._longest(place[lo:hi], run[lo:hi]) for lo, hi in zip(*cuts)], np.int64)
+        return pair // width, pair % width, np.bincount(of, hits[good], len(pair)).astype(np.int64), best, longest
 
 
 def _item_blocks(items: DataFrame, item_id: str, text: str) -> Iterator[ItemIndex]:
@@ -177,16 +200,17 @@ def _item_blocks(items: DataFrame, item_id: str, text: str) -> Iterator[ItemInde
     for k in range(passes):
         own = rows if passes == 1 else rows.filter(F.pmod(F.xxhash64("i"), F.lit(passes)) == k)
         got = own.orderBy("i", "t").toPandas()
-        yield ItemIndex(got["i"].tolist(), got["t"].tolist())
+        if len(got):
+            yield ItemIndex(got["i"].tolist(), got["t"].tolist())
     del spark
 
 
 def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str | Column = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Documents and the items of which they hold at least 12 consecutive words.
 
-    Gives ``doc_id BIGINT, item_id BIGINT, shared_runs BIGINT, score DOUBLE``: how many
-    runs of 12 words are shared, and the best passage's BM25 score over the item's
-    threshold. One row for each document and item; repeated rows count once.
+    Gives ``doc_id BIGINT, item_id BIGINT, shared_runs BIGINT, score DOUBLE, longest BIGINT``: how
+    many runs of 12 words are shared, the best passage's BM25 score over the item's
+    threshold, and how many words in a row are shared at most. One row for each document and item; repeated rows count once.
 
     Null or empty texts, and items of under 12 words, give no rows; so do rows
     without a key. Other columns are not read. Empty tables give an empty result.
@@ -194,33 +218,34 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str | Column = "doc_
     """
     key = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     corpus = docs.select(key.cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null and text is not null")
-    schema = "doc_id bigint, item_id bigint, shared_runs bigint, score double"
+    schema = "doc_id bigint, item_id bigint, shared_runs bigint, score double, longest bigint"
     out = None
-    for index in _item_blocks(items, item_id, item_text):
+    blocks = _item_blocks(items, item_id, item_text)
+    while indexes := list(islice(blocks, INDEXES_PER_SCAN)):
 
-        def search(batches: Iterator[pa.RecordBatch], index: ItemIndex = index) -> Iterator[pa.RecordBatch]:
+        def search(batches: Iterator[pa.RecordBatch], indexes: list[ItemIndex] = indexes) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids = batch.column(0).to_numpy(zero_copy_only=False)
                 for row, _, data, offsets in string_parts(batch.column(1)):
                     words, firsts, _, _ = word_hashes(data, offsets)
-                    doc, item, shared, score = index.leaks(words, firsts)
-                    if len(doc):
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[row + doc], index.ids[item], shared, score)], ["doc_id", "item_id", "shared_runs", "score"])
+                    for index in indexes:
+                        doc, item, shared, score, longest = index.leaks(words, firsts)
+                        if len(doc):
+                            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[row + doc], index.ids[item], shared, score, longest)], ["doc_id", "item_id", "shared_runs", "score", "longest"])
 
         found = corpus.mapInArrow(search, schema)
         out = found if out is None else out.unionByName(found)
     if out is None:
         return docs.sparkSession.createDataFrame([], schema)
-    return out.groupBy("doc_id", "item_id").agg(F.max("shared_runs").alias("shared_runs"), F.max("score").alias("score"))
+    return out.groupBy("doc_id", "item_id").agg(F.max("shared_runs").alias("shared_runs"), F.max("score").alias("score"), F.max("longest").alias("longest"))
 
 
 def leak_report(leaks: DataFrame, items: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
     """For every item: in how many documents it leaked and its longest share.
 
-    ``item_id, documents, most_shared_words``: words in a row at most shared are
-    estimated from the runs of 12 (n runs in a row are n + 11 words). Items that did
-    not leak have 0 in both.
+    ``item_id, documents, most_shared_words``, the most words in a row that a document shares
+    with the item. Items that did not leak have 0 in both.
     """
     own = items.select(F.col(item_id).cast("long").alias("item_id")).filter("item_id is not null").distinct()
-    per = leaks.groupBy("item_id").agg(F.count("*").alias("n"), (F.max("shared_runs") + RUN - 1).alias("w"))
+    per = leaks.groupBy("item_id").agg(F.count("*").alias("n"), F.max("longest").alias("w"))
     return own.join(per, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).cast("long").alias("documents"), F.coalesce("w", F.lit(0)).cast("long").alias("most_shared_words"))
