@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 import pytest
 
-from veldra.llm.packing import PATTERN, TOKENIZER, _count, encoding, pack, pack_task, window_fill
+from veldra.llm.packing import PATTERN, TOKENIZER, _count, encoding, pack, pack_task, window_fill, window_mixture
 
 pytestmark = pytest.mark.skipif(not os.path.exists(TOKENIZER), reason="the tokenizer's file isn't here")
 SCHEMA = "doc_id bigint, text string, source string, tokens string"
@@ -76,3 +76,28 @@ def test_pack(spark):
 def test_empty(spark):
     packed = pack(spark.createDataFrame([], SCHEMA))
     assert packed.count() == 0 and window_fill(packed).first().windows == 0
+
+
+def test_mixture_follows_targets(spark):
+    rng = np.random.default_rng(3)
+    targets = {"a": 0.5, "b": 0.3, "c": 0.2}
+    items = [(s, int(rng.integers(20, 200)), i) for s, w in targets.items() for i in range(int(w * 4000))]
+    windows = {}
+    for w, (s, size, _) in pack_task(items, targets, {}):
+        windows.setdefault(w, {}).setdefault(s, 0)
+        windows[w][s] += size
+    # Up to any window but the last tenth, what was given is near the targets, carried deficits making up for single windows.
+    got = dict.fromkeys(targets, 0)
+    for w in sorted(windows)[: int(len(windows) * 0.9)]:
+        for s, n in windows[w].items():
+            got[s] += n
+        if w >= 10:
+            assert all(abs(got[s] / sum(got.values()) - t) < 0.05 for s, t in targets.items()), w
+    rows = [(i, "council order " * int(rng.integers(5, 60)), s, "") for i, s in enumerate(rng.choice(["a", "b", "c"], 900, p=[0.5, 0.3, 0.2]).tolist())]
+    rows.append((0, "another text of the same id", "a", ""))
+    packed = pack(spark.createDataFrame(rows, SCHEMA), task_tokens=15_000).cache()
+    assert packed.count() == len(rows)
+    m = window_mixture(packed)
+    assert m.count() == packed.select("window_id").distinct().count() and m.agg(F.max("drift")).first()[0] < 0.15 and m.agg(F.avg("distance")).first()[0] < 0.3
+    assert window_mixture(packed, {"b": 1.0}).agg(F.min("drift")).first()[0] > 0.5
+    assert window_mixture(packed.limit(0)).count() == 0

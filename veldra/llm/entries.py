@@ -12,7 +12,7 @@ from veldra.llm.leakage import leak_report, leaked_items
 from veldra.llm.names import Parties
 from veldra.llm.neardup import NearDuplicates
 from veldra.llm.neighbours import Neighbours
-from veldra.llm.packing import pack, window_fill
+from veldra.llm.packing import pack, window_fill, window_mixture
 from veldra.llm.scans import ScanRepair
 from veldra.llm.splitting import split_items
 from veldra.tables import table
@@ -75,6 +75,10 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return window_fill(p7_windows(spark, d))
 
 
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return window_mixture(p7_windows(spark, d))
+
+
 def p9_scores(spark: SparkSession, d: str) -> DataFrame:
     return abuse_scores(table(spark, d, "documents"), table(spark, d, "labels"))
 
@@ -122,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_pieces": p6_pieces,
     "p7_windows": p7_windows,
     "p7_fill": p7_fill,
+    "p7_mixture": p7_mixture,
     "p8_found": p8_found,
     "p8_report": p8_report,
     "p9_found": p9_found,

@@ -31,6 +31,8 @@ CAPACITY = 1024
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Tokens of a packing task: some 2,000 windows, so that unfilled last windows weigh nothing.
 TASK_TOKENS = 2_000_000
+#: Tasks whose deficits are added up in one window.
+TASKS_A_BLOCK = 1_000
 #: The split of texts into pieces that belongs to the vocabulary: a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -52,16 +54,16 @@ def clean_source(column: str = "source"):
 
 
 def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", tokenizer: str = TOKENIZER) -> DataFrame:
-    """``doc_id, source, tokens BIGINT`` of all rows with an id; null texts have 0 tokens."""
+    """``doc_id, source, tokens BIGINT, text_hash BIGINT`` of all rows with an id; null texts have 0 tokens."""
     kind = dict(df.dtypes)[id_col]
-    rows = df.select(F.col(id_col).alias("doc_id"), clean_source(source_col).alias("source"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter("doc_id is not null")
+    rows = df.select(F.col(id_col).alias("doc_id"), clean_source(source_col).alias("source"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter("doc_id is not null").withColumn("text_hash", F.xxhash64("text"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoding(tokenizer).encode_ordinary
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "source": batch["source"], "tokens": [_count(encode, t) for t in batch["text"]]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "source": batch["source"], "tokens": [_count(encode, t) for t in batch["text"]], "text_hash": batch["text_hash"]})
 
-    return rows.mapInPandas(count, f"doc_id {kind}, source string, tokens bigint")
+    return rows.mapInPandas(count, f"doc_id {kind}, source string, tokens bigint, text_hash bigint")
 
 
 def _count(encode, text: str, most: int = 100_000) -> int:
@@ -128,7 +130,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_c
     counted = stage(counted.filter("tokens > 0").distinct(), "tokens")
     total = counted.agg(F.sum("tokens")).first()[0] or 0
     tasks = max(1, round(total / task_tokens))
-    counted = counted.withColumn("task", F.pmod(F.xxhash64("doc_id", "source", "tokens"), F.lit(tasks)).cast("int"))
+    counted = counted.withColumn("task", F.pmod(F.xxhash64("doc_id", "source", "tokens", "text_hash"), F.lit(tasks)).cast("int"))
     # Sources by task: what each task holds, and the deficits with which it begins.
     held = counted.groupBy("task", "source").agg(F.sum("tokens").alias("held"))
     by_source = held.groupBy("source").agg(F.sum("held").alias("all"))
@@ -138,10 +140,14 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_c
         wanted = df.sparkSession.createDataFrame([(s, float(w)) for s, w in shares.items()], "source string, share double")
         by_source = by_source.join(wanted, "source", "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
     granted = held.groupBy("task").agg(F.sum("held").alias("task_held"))
-    before = Window.partitionBy("source").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    past = F.coalesce(F.sum(F.col("share") * F.col("task_held") - F.col("held")).over(before), F.lit(0.0))
+    # Sums over earlier tasks in two steps, of blocks of tasks and inside them, so that no window holds all tasks of a source.
+    joined = held.join(granted, "task").join(by_source, "source").withColumn("__b", F.floor(F.col("task") / TASKS_A_BLOCK)).withColumn("__owed", F.col("share") * F.col("task_held") - F.col("held"))
+    inside = Window.partitionBy("source", "__b").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    between = Window.partitionBy("source").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = joined.groupBy("source", "__b").agg(F.sum("__owed").alias("__sum")).withColumn("__past", F.coalesce(F.sum("__sum").over(between), F.lit(0.0))).drop("__sum")
+    past = F.col("__past") + F.coalesce(F.sum("__owed").over(inside), F.lit(0.0))
     # Staged: as a table of its own it is no second reading of the sizes to the planner.
-    carried = stage(held.join(granted, "task").join(by_source, "source").select("task", "source", "share", past.alias("carried")), "carried")
+    carried = stage(joined.join(blocks, ["source", "__b"]).select("task", "source", "share", past.alias("carried")), "carried")
     # Whole windows of large texts, then the rests, which are items like others.
     parts = F.ceil(F.col("tokens") / capacity).cast("int")
     pieces = counted.select("task", "doc_id", "source", "tokens", F.explode(F.sequence(F.lit(1), parts)).alias("part"))
@@ -166,3 +172,29 @@ def window_fill(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     windows = packed.groupBy("window_id").agg(F.sum("tokens").alias("t"), F.count("*").alias("n"))
     total = windows.agg(F.count("*").alias("windows"), F.coalesce(F.sum("n"), F.lit(0)).alias("items"), F.coalesce(F.sum("t"), F.lit(0)).alias("tokens"))
     return total.withColumn("fill", F.col("tokens") / F.greatest(F.col("windows") * F.lit(capacity), F.lit(1)))
+
+
+def window_mixture(packed: DataFrame, shares: dict[str, float] | None = None) -> DataFrame:
+    """``window_id, tokens, distance, drift``: how far each window is from the target proportions.
+
+    distance: half the sum of the differences between a window's shares and the targets, 0 to
+    1; drift: the same of all windows of its task together, which carried deficits keep small.
+    Targets are ``shares``, scaled to 1, or by default each source's part of all tokens.
+    """
+    if shares is None:
+        total = packed.agg(F.sum("tokens").alias("all"))
+        target = packed.groupBy("source").agg(F.sum("tokens").alias("s")).crossJoin(F.broadcast(total)).select("source", (F.col("s") / F.col("all")).alias("share"))  # one row
+    else:
+        whole = sum(shares.values()) or 1.0
+        target = packed.sparkSession.createDataFrame([(s, float(w) / whole) for s, w in shares.items()], "source string, share double")
+    by = packed.groupBy("window_id", F.split_part("window_id", F.lit("-"), F.lit(1)).alias("task"), "source").agg(F.sum("tokens").alias("t"))
+
+    def away(of: str, name: str) -> DataFrame:
+        """How far the tokens of each ``of`` are from the targets; a source that isn't there differs by its whole target."""
+        own = by.groupBy(of, "source").agg(F.sum("t").alias("t"))
+        own = own.join(own.groupBy(of).agg(F.sum("t").alias("tokens")), of).join(target, "source", "left").fillna(0.0, ["share"])
+        off = (F.sum(F.abs(F.col("t") / F.col("tokens") - F.col("share"))) + 1 - F.sum("share")) / 2
+        return own.groupBy(of).agg(F.max("tokens").alias("tokens"), F.round(off, 6).alias(name))
+
+    windows = away("window_id", "distance").join(by.select("window_id", "task").distinct(), "window_id")
+    return windows.join(away("task", "drift").drop("tokens"), "task").select("window_id", "tokens", "distance", "drift")
