@@ -113,3 +113,24 @@ def test_pool_relaxes(spark):
     assert level == {"u0": (1, 8), "u1": (1, 8), "u2": (0, 10), "u3": (0, 10), "u4": (2, 10)}
     assert all(int(r.id[1:]) % 2 for r in got.filter("unit_id = 'u2'").collect())
     assert A.pool(base, units.limit(0)).count() == 0
+
+
+def test_answers_and_forms(spark):
+    from veldra.plans import answer as W
+
+    rows = [("u", "c1", 1, 0.9, "a.pdf", 0, "Steel rods cost 40 rupees. " * 3, "s", 1, "1", False, None, "2018", "d1", "Sum", 0.0, 1), ("u", "c2", 2, 0.8, "b.pdf", 3, None, None, 0, "", True, None, None, None, None, 0.0, 1)]
+    names = "unit_id string, id string, place int, boosted double, source_file string, chunk_index int, text string, section string, page_no int, page_label string, is_table boolean, chunk_year array<string>, doc_year string, doc_id string, summary string, graph_score double, hits long"
+    h = spark.createDataFrame(rows, names)
+    block = W.synthesize_block(h).first().block
+    assert "━━━ a.pdf (2018) ━━━\n[DOCUMENT SUMMARY]\nSum\n\nPage 1 | s [TEXT]\nSteel rods" in block and "Page Unknown | General [TABLE]" in block
+    assert "━━━ S ━━━\nSource: a.pdf\nYear: 2018\n" in W.compare_block(h.withColumn("arm", F.col("section"))).first().block
+    assert W.extractive_answer(h).first().answer.endswith("[Source: b.pdf, Page 0]") and W.documents(h).count() == 2
+    assert W.synthesize_block(h.limit(0)).count() == W.extractive_answer(h.limit(0)).count() == 0
+    texts = spark.createDataFrame([("s1", "text"), ("s2", None)], "session string, text string")
+    state = spark.createDataFrame([("s1", "name", "Asha"), ("s1", "city", "n/a")], "session string, field string, value string")
+    fields = spark.createDataFrame([("name",), ("city",), ("year",)], "field string")
+    merged, progress = W.extract_forms(texts, state, fields, lambda p: 1 / 0, lambda p: 'so: {"city": "Pune", "year": "null", "name": "Other"}')
+    assert {(r.session, r.field): r.value for r in merged.collect() if r.value} == {("s1", "name"): "Asha", ("s1", "city"): "Pune", ("s2", "city"): "Pune", ("s2", "name"): "Other"}
+    assert {r.session: (r.filled, r.missing) for r in progress.collect()} == {"s1": (2, "year"), "s2": (2, "year")}
+    found = W.search_documents(spark.createDataFrame([(1, "x\n\n" + "y" * 500 + " Steel " + "z" * 500, "steel.md"), (2, None, None), (3, "steel\n\nsteel", "a")], "doc_id int, text string, name string"), "steel", name="name")
+    assert {r.doc_id: (r.hits, [len(s) for s in r.snippets]) for r in found.collect()} == {1: (2, [371]), 3: (2, [5])}

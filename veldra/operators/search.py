@@ -203,6 +203,11 @@ def year_or_filter(year: str) -> Column:
     return F.coalesce(F.col("doc_year") == year, F.lit(False)) | F.coalesce(F.array_contains("chunk_year", year), F.lit(False))
 
 
+def filename_or_filter(tokens: list[str]) -> Column:
+    """Any of some file-name tokens."""
+    return F.coalesce(F.arrays_overlap("filename_tokens", F.array(*map(F.lit, tokens))), F.lit(False))
+
+
 def bm25_weights(docs: DataFrame, id_col: str, tokens: Column, k1: float = 1.2, b: float = 0.75, idf: bool = False) -> DataFrame:
     """``id, term, weight``: saturated term frequencies, with inverse document frequencies if wanted."""
     listed = docs.select(F.col(id_col).alias("id"), tokens.alias("tokens"))

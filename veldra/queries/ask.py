@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from veldra.functions import text as T
 from veldra.operators import asking as A, prompts as P, ranking as R
-from veldra.plans import retrieve as plans
+from veldra.plans import answer as W, retrieve as plans
 from veldra.queries.ranking import _ANSWER
 from veldra.queries.search import C, QUERY_FILTER, QUERY_SQL
 from veldra.tables import chunks, table
@@ -117,7 +117,37 @@ def prompts(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.md5(P.cleaner_prompt(t)).alias("cleaner"), F.md5(P.generator_prompt(t, F.lit("c"), F.lit("direct"), F.lit(None))).alias("generator"), F.md5(P.graph_prompt(i, t, F.lit("ACT"))).alias("graph"), F.md5(P.gleaning_prompt(i, t, F.lit("{}"))).alias("gleaning"))
 
 
+def capped(spark, d) -> DataFrame:
+    return R.threshold_cap(_plan(plans.ranked, spark, d), "boosted", plans.LEAST, plans.K, "unit_id")
+
+
+def budget_dispatch(spark, d):
+    """Hits within a budget, of half of the questions as comparisons of sections."""
+    h = capped(spark, d).withColumn("tokens", F.coalesce(T.token_count(F.col("text")), F.lit(0))).withColumn("arm", F.coalesce("section", F.lit("")))
+    structure = F.when(F.substring("unit_id", 1, 1) < "8", "compare").otherwise("direct")
+    return W.budgeted(h, structure, 600).select("unit_id", "id", F.col("running_tokens").alias("running"))
+
+
+def forms(spark, d):
+    """Forms of users filled by a rule that stands for a model: it knows two fields, one of them as a placeholder."""
+    c = table(spark, d, "customer").filter("c_custkey <= 200")
+    texts = c.select(F.col("c_custkey").cast("string").alias("session"), F.col("c_name").alias("text"))
+    state = c.select(F.col("c_custkey").cast("string").alias("session"), F.lit("name").alias("field"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).otherwise("n/a").alias("value"))
+    fields = spark.createDataFrame([("name",), ("segment",), ("city",)], "field string")
+    return W.extract_forms(texts, state, fields, lambda p: '{"name": "asked", "segment": "s", "city": "not available", "other": "x"}' if "city" in p else "")[1]
+
+
 QUERIES = {
+    "context_compare": lambda spark, d: W.compare_block(capped(spark, d).withColumn("arm", F.col("section"))).select("unit_id", F.md5("block").alias("block")),
+    "context_synthesize": lambda spark, d: W.synthesize_block(capped(spark, d)).select("unit_id", F.md5("block").alias("block")),
+    "extractive_answers": lambda spark, d: W.extractive_answer(capped(spark, d)).select("unit_id", F.md5("answer").alias("answer")),
+    "budget_dispatch": budget_dispatch,
+    "ask": lambda spark, d: _plan(W.ask, spark, d).select("unit_id", F.md5("answer").alias("answer"), "reason", "confidence", "not_found", "cache_key"),
+    "retrieved_documents": lambda spark, d: W.documents(capped(spark, d)).select("unit_id", "place", F.md5("page_content").alias("content"), F.col("metadata.id").alias("id")),
+    "pool_of_arms": lambda spark, d: W.pooled_arms(base(spark, d), units(spark, d), wanted_arms(spark, d)).select("query_id", "label", "sub", "id", "score"),
+    "form_extraction": forms,
+    "length_batches": lambda spark, d: W.by_length(chunks(spark, d).select("chunk_id", F.coalesce("token_count", F.lit(0)).alias("token_count"))),
+    "phrase_search": lambda spark, d: W.search_documents(table(spark, d, "documents"), "Purchase Order", name="source").select("doc_id", "hits", F.size("snippets").alias("snippets"), F.md5(F.array_join("snippets", "|")).alias("snippet_hash")),
     "retrieve_single": single,
     "retrieve_few": few,
     "retrieve_broad": lambda spark, d: _plan(plans.broad, spark, d),
@@ -189,7 +219,35 @@ _TOKENS = r"coalesce(len(regexp_extract_all(text, '([^ \t\n\r\f\x0B]+)', 1)), 0)
 _LINE = f"""'File: ' || coalesce(source_file, '') || ' | Page ' || CASE WHEN coalesce(page_label, '') <> '' THEN page_label WHEN page_no > 0 THEN page_no::VARCHAR ELSE 'Unknown' END || ' | ' || CASE WHEN coalesce(section, '') <> '' THEN section ELSE 'General' END
   || CASE WHEN coalesce(is_table, false) THEN ' [TABLE]' ELSE ' [TEXT]' END || chr(10) || {_STRIPPED.format(c="coalesce(text, '')")} || chr(10)"""
 
+_CHUNK_LINE = _LINE.replace("'File: ' || coalesce(source_file, '') || ' | Page ' ||", "'Page ' ||")
+_CAPPED = _SINGLE.replace("c.doc_year, q.hy AS hy", "c.doc_year, c.doc_id, c.summary, q.hy AS hy")
+_YEARED = "CASE WHEN coalesce(doc_year, '') <> '' THEN {a} || doc_year{b} ELSE '' END"
+_SUMMARY = _STRIPPED.format(c="coalesce(summary, '')")
+
 SQL = {
+    "context_compare": f"""WITH {_CAPPED}, a AS (SELECT unit_id, CASE WHEN coalesce(section, '') <> '' THEN section ELSE 'General' END AS arm, min(place) AS p, arg_min('Source: ' || coalesce(source_file, '') || {_YEARED.format(a="chr(10) || 'Year: '", b="")}, place) AS head, string_agg({_CHUNK_LINE}, chr(10) ORDER BY place) AS lines FROM pl GROUP BY 1, 2)
+SELECT unit_id, md5('=== COMPARISON CONTEXT ===' || chr(10) || 'Each section below represents one of the documents or entities being compared.' || chr(10) || chr(10) || string_agg(chr(10) || '━━━ ' || upper(arm) || ' ━━━' || chr(10) || head || chr(10) || chr(10) || lines, chr(10) ORDER BY p) || chr(10) || '=== END OF COMPARISON CONTEXT ===') AS block FROM a GROUP BY 1""",
+    "context_synthesize": f"""WITH {_CAPPED}, n AS (SELECT *, CASE WHEN coalesce(doc_id, '') <> '' THEN doc_id ELSE source_file END AS doc FROM pl), k AS (SELECT *, row_number() OVER (PARTITION BY unit_id, doc ORDER BY place) AS r FROM n),
+a AS (SELECT unit_id, doc, min(place) AS p, arg_min(coalesce(source_file, '') || {_YEARED.format(a="' ('", b=" || ')'")} || ' ━━━' || CASE WHEN {_SUMMARY} <> '' THEN chr(10) || '[DOCUMENT SUMMARY]' || chr(10) || {_SUMMARY} || chr(10) ELSE '' END, place) AS head, string_agg({_CHUNK_LINE}, chr(10) ORDER BY place) AS lines FROM k WHERE r <= 2 GROUP BY 1, 2)
+SELECT unit_id, md5('=== SYNTHESIZED CONTEXT FROM MULTIPLE DOCUMENTS ===' || chr(10) || 'Below are summaries and key excerpts from relevant documents.' || chr(10) || chr(10) || string_agg(chr(10) || '━━━ ' || head || chr(10) || lines, chr(10) ORDER BY p) || chr(10) || '=== END OF SYNTHESIZED CONTEXT ===') AS block FROM a GROUP BY 1""",
+    "extractive_answers": f"""WITH {_CAPPED}, w AS (SELECT *, array_to_string(regexp_extract_all(coalesce(text, ''), '([^ \\t\\n\\r\\f\\x0B]+)', 1), ' ') AS t FROM pl WHERE place <= 3)
+SELECT unit_id, md5(string_agg('- ' || CASE WHEN length(t) > 800 THEN left(t, 800) || '...' ELSE t END || ' [Source: ' || coalesce(source_file, 'Unknown') || ', Page ' || CASE WHEN coalesce(page_label, '') <> '' THEN page_label ELSE coalesce(page_no::VARCHAR, '?') END || ']', chr(10) ORDER BY place)) AS answer FROM w GROUP BY 1""",
+    "budget_dispatch": f"""WITH {_SINGLE}, h AS (SELECT *, {_TOKENS} AS tokens, CASE WHEN unit_id[1] < '8' THEN coalesce(section, '') END AS arm FROM pl), n AS (SELECT unit_id, greatest(count(DISTINCT arm), 1) AS n FROM h GROUP BY 1),
+b AS (SELECT h.*, CASE WHEN unit_id[1] < '8' THEN 600 // n ELSE 600 END AS most, sum(tokens) OVER (PARTITION BY unit_id, arm ORDER BY place) AS running FROM h JOIN n USING (unit_id)),
+s AS (SELECT *, max(CASE WHEN NOT coalesce(is_table, false) AND running > most THEN 1 ELSE 0 END) OVER (PARTITION BY unit_id, arm ORDER BY place) AS stop FROM b) SELECT unit_id, id, running::BIGINT AS running FROM s WHERE stop = 0""",
+    "retrieved_documents": f"WITH {_SINGLE} SELECT unit_id, place, md5(coalesce(text, '')) AS content, id FROM pl",
+    "pool_of_arms": f"WITH {_FEW} SELECT split_part(unit_id, chr(1), 1) AS query_id, split_part(unit_id, chr(1), 2) AS label, sub::INT AS sub, id, score FROM po",
+    "form_extraction": "SELECT c_custkey::VARCHAR AS session, 2::BIGINT AS filled, 'city' AS missing, 66.7::DOUBLE AS percent FROM customer WHERE c_custkey <= 200",
+    "length_batches": f"WITH {C} SELECT chunk_id, coalesce(token_count, 0) AS token_count FROM c",
+    "phrase_search": r"""WITH h AS (SELECT doc_id, source, text, lower(coalesce(text, '')) AS l, contains(lower(coalesce(source, '')), 'purchase order') AS named FROM documents),
+p AS (SELECT *, list_filter(string_split(coalesce(text, ''), chr(10) || chr(10)), lambda x: contains(lower(x), 'purchase order')) AS ps FROM h WHERE contains(l, 'purchase order') OR named),
+s AS (SELECT doc_id, ((length(l) - length(replace(l, 'purchase order', ''))) // 14 + named::INT)::BIGINT AS hits, list_transform(ps, lambda x: CASE WHEN length(x) <= 400 THEN regexp_replace(x, '^[ 	
+
+]+|[ 	
+
+]+$', '', 'g') ELSE '...' || substr(x, greatest(instr(lower(x), 'purchase order') - 180, 1), instr(lower(x), 'purchase order') - greatest(instr(lower(x), 'purchase order') - 180, 1) + 14 + 180) || '...' END) AS t FROM p),
+u AS (SELECT doc_id, hits, t, list_filter(t, lambda x, i: list_position(t, x) = i) AS d FROM s)
+SELECT doc_id, hits, len(d)::INT AS snippets, md5(array_to_string(d, '|')) AS snippet_hash FROM u""",
     "retrieve_single": f"WITH {_SINGLE}, {_NEAR} SELECT * FROM fi",
     "retrieve_few": f"""WITH {_FEW}, {ranked_sql("split_part(hc.unit_id, chr(1), 1)", "split_part(hc.unit_id, chr(1), 2)", "NULL::VARCHAR")}
 SELECT query_id, arm, id, place FROM (SELECT split_part(unit_id, chr(1), 1) AS query_id, split_part(unit_id, chr(1), 2) AS arm, id, row_number() OVER (PARTITION BY unit_id ORDER BY boosted DESC, id)::INT AS place FROM rk) x

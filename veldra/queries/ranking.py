@@ -73,6 +73,14 @@ def compare_block(spark, d):
     return hits(spark, d).groupBy("query_id", F.pmod("rank", F.lit(2)).cast("int").alias("arm")).agg(F.md5(F.array_join(F.transform(parts, lambda p: p["t"]), "\n\n")).alias("block"))
 
 
+def arm_slots(spark, d):
+    """Hits by arm, here their section: the slots of a query are shared out equally, at least one to each arm."""
+    h = hits(spark, d).drop("rank").withColumn("arm", F.coalesce("section", F.lit("")))
+    n = h.groupBy("query_id").agg(F.greatest(F.lit(1), F.floor(F.lit(10) / F.count_distinct("arm"))).alias("slots"))
+    top = S.top(h, ["query_id", "arm"], [F.desc("score"), F.asc("id")], 10).join(n, "query_id")
+    return top.filter("rank <= slots").select("query_id", "arm", "id", "rank")
+
+
 def near_dup(spark, d):
     """Pairs of one fingerprint whose character shingles are alike in 0.85 of all.
 
@@ -130,7 +138,7 @@ QUERIES = {
     "score_boosts": lambda spark, d: boosted(spark, d).select("query_id", "id", "boosted"),
     "threshold_cap": lambda spark, d: R.threshold_cap(hits(spark, d), "score", 0.30, 10).select("query_id", "id", "place"),
     "diversity_cap": lambda spark, d: R.diversity_cap(hits(spark, d), 6, 4).select("query_id", "id", "doc_rank", "in_doc"),
-    "arm_slots": lambda spark, d: S.top(hits(spark, d).drop("rank").withColumn("arm", F.coalesce("section", F.lit(""))), ["query_id", "arm"], [F.desc("score"), F.asc("id")], 3).select("query_id", "arm", "id", "rank"),
+    "arm_slots": arm_slots,
     "token_budget": lambda spark, d: budget(spark, d).select("query_id", "id", F.col("running_tokens").alias("running")),
     "token_budget_arms": lambda spark, d: budget(spark, d, ("query_id", "arm"), 2).select("query_id", F.col("arm").cast("int"), "id", F.col("running_tokens").alias("running")),
     "priority_order": lambda spark, d: hits(spark, d).select("query_id", "id", F.row_number().over(Window.partitionBy("query_id").orderBy(F.when(F.coalesce("is_table", F.lit(False)), 0).otherwise(1), F.desc("score"), "id")).cast("int").alias("place")),
@@ -188,7 +196,7 @@ SELECT query_id, id, round(1 / (1 + exp(-(10 * CASE WHEN len(q) = 0 OR len(a) =
     "threshold_cap": f"WITH {H} SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS place FROM x WHERE score >= 0.3) WHERE place <= 10",
     "diversity_cap": f"""WITH {H}, b AS (SELECT *, max(score) OVER (PARTITION BY query_id, source_file) AS best, row_number() OVER (PARTITION BY query_id, source_file ORDER BY score DESC, id)::INT AS in_doc FROM x)
 SELECT query_id, id, doc_rank, in_doc FROM (SELECT *, dense_rank() OVER (PARTITION BY query_id ORDER BY best DESC, source_file)::INT AS doc_rank FROM b) WHERE doc_rank <= 6 AND in_doc <= 4""",
-    "arm_slots": f"WITH {H} SELECT * FROM (SELECT query_id, coalesce(section, '') AS arm, id, row_number() OVER (PARTITION BY query_id, coalesce(section, '') ORDER BY score DESC, id)::INT AS rank FROM x) WHERE rank <= 3",
+    "arm_slots": f"WITH {H}, a AS (SELECT *, coalesce(section, '') AS arm FROM x), n AS (SELECT query_id, greatest(1, 10 // count(DISTINCT arm)) AS slots FROM a GROUP BY 1) SELECT query_id, arm, id, rank FROM (SELECT query_id, arm, id, row_number() OVER (PARTITION BY query_id, arm ORDER BY score DESC, id)::INT AS rank FROM a) JOIN n USING (query_id) WHERE rank <= slots",
     "token_budget": _budget("query_id", BUDGET),
     "token_budget_arms": _budget("query_id, arm", BUDGET // 2),
     "priority_order": f"WITH {H} SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN coalesce(is_table, false) THEN 0 ELSE 1 END, score DESC, id)::INT AS place FROM x",

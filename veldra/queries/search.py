@@ -63,6 +63,7 @@ QUERIES = {
     "bm25_idf_weights": lambda spark, d: S.bm25_weights(table(spark, d, "documents"), "doc_id", T.tokens(F.lower("text")), idf=True),
     "metadata_filter": lambda spark, d: chunks(spark, d).filter(S.metadata_filter({"has_tables": True, "chunk_year": ["2018", "2019"], "keywords": ["solar brackets"]})).select("chunk_id"),
     "year_or_filter": lambda spark, d: chunks(spark, d).filter(S.year_or_filter("2018")).select("chunk_id"),
+    "filename_or_filter": lambda spark, d: chunks(spark, d).filter(S.filename_or_filter(["orders", "order", "circular"])).select("chunk_id"),
     "filter_relaxation": relaxation,
 }
 
@@ -113,6 +114,7 @@ SQL = {
     "bm25_idf_weights": _BM25.format(idf=" * ln(1 + (n - df + 0.5) / (df + 0.5))"),
     "metadata_filter": f"WITH {C} SELECT chunk_id FROM c WHERE has_tables AND (list_contains(chunk_year, '2018') OR list_contains(chunk_year, '2019') OR list_contains(keywords, 'solar brackets'))",
     "year_or_filter": f"WITH {C} SELECT chunk_id FROM c WHERE coalesce(doc_year = '2018', false) OR coalesce(list_contains(chunk_year, '2018'), false)",
+    "filename_or_filter": f"WITH {C} SELECT chunk_id FROM c WHERE coalesce(list_has_any(filename_tokens, ['orders', 'order', 'circular']), false)",
     "filter_relaxation": f"""WITH {C}, f AS (SELECT chunk_id, coalesce(doc_year = '2018' AND section = 'Background', false) AS m0, coalesce(doc_year = '2018', false) AS m1 FROM c),
 l AS (SELECT (CASE WHEN count(*) FILTER (m0) >= 6 THEN 0 WHEN count(*) FILTER (m1) >= 6 THEN 1 ELSE 2 END)::INT AS level FROM f)
 SELECT chunk_id, level FROM f, l WHERE CASE level WHEN 0 THEN m0 WHEN 1 THEN m1 ELSE true END""",
