@@ -17,10 +17,15 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from veldra.functions import text as T, vectors as V
 from veldra.operators import search as S
+from veldra.storage import stage
 
 HINTS = "struct<doc_year:string,section:string,keywords:array<string>,filename_tokens:array<string>,source_file:string>"
 _SCALARS, _LISTS = ("doc_year", "section", "source_file"), ("keywords", "filename_tokens")
 LEAST_ROWS = 6
+#: The most levels that a filter has.
+LEVELS = 3
+#: Queries sent to the executors at once; rows that a task searches at once, and scores that it holds at once.
+QUERIES_AT_ONCE, ROWS_AT_ONCE, CELLS_AT_ONCE = 16_000, 65_536, 500_000
 FIELDS = ("doc_year", "section", "source_file", "keywords", "filename_tokens")
 
 
@@ -90,95 +95,177 @@ def score_subqueries(df: DataFrame, vector: str, subqueries: str, least: float =
     return df.withColumn("all_subqueries", best).withColumn("subqueries", F.filter("all_subqueries", lambda s: s["weight"] >= least))
 
 
-def _mask(block: pd.DataFrame, batch: pd.DataFrame) -> np.ndarray:
-    """(query level, row) pairs that fit."""
-    ok = np.ones((len(block), len(batch)), bool)
-    for f in _SCALARS:
-        own = batch[f].to_numpy(object)
-        for value, at in block.groupby(f, dropna=True).indices.items():
-            ok[at] &= own == value
-    some = np.zeros_like(ok)
-    asked = np.zeros(len(block), bool)
-    for f in _LISTS:
-        rows: dict[str, list[int]] = {}
-        for i, values in enumerate(batch[f]):
-            for v in values if values is not None else ():
-                rows.setdefault(v, []).append(i)
-        for i, values in enumerate(block[f]):
-            if values is not None and len(values):
-                asked[i] = True
-                for v in values:
-                    some[i, rows.get(v, [])] = True
-    ok[asked] &= some[asked]
-    return ok
-
-
-def dense_pool(base: DataFrame, units: DataFrame, k: int) -> DataFrame:
-    """``unit_id, level, sub, id, score``: the k most similar rows that fit, for each query and level of its filter. Exact."""
+class _Filters:
+    """The distinct filters of a block of queries, and the rows of a batch that fit each."""
+
+    def __init__(self, block: pd.DataFrame) -> None:
+        found: dict[tuple, list[int]] = {}
+        for i, h in enumerate(zip(*(block[f] for f in FIELDS))):
+            single = tuple(None if v is None or v != v else v for v in h[: len(_SCALARS)])
+            listed = tuple(tuple(v) if v is not None and len(v) else () for v in h[len(_SCALARS) :])
+            found.setdefault((single, listed), []).append(i)
+        self.queries = [(h, np.array(own)) for h, own in found.items()]
+        self.listed = any(any(listed) for (_, listed), _ in self.queries)
+        self.fields = FIELDS if self.listed else _SCALARS
+
+    def fitting(self, rows: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(queries, rows) for each filter that some rows fit: all single values, and one of all listed ones together."""
+        codes, known = {}, {}
+        for f in _SCALARS:
+            codes[f], values = pd.factorize(rows[f])
+            known[f] = {v: i for i, v in enumerate(values)}
+        holders: dict[str, dict[str, list[int]]] = {f: {} for f in _LISTS}
+        for f in _LISTS if self.listed else ():
+            for i, values in enumerate(rows[f]):
+                for v in values if values is not None else ():
+                    holders[f].setdefault(v, []).append(i)
+        for (single, listed), own in self.queries:
+            ok = np.ones(len(rows), bool)
+            for f, value in zip(_SCALARS, single):
+                if value is not None:
+                    ok &= codes[f] == known[f].get(value, -2)
+            if any(listed):
+                some = np.zeros(len(rows), bool)
+                for f, values in zip(_LISTS, listed):
+                    for v in values:
+                        some[holders[f].get(v, [])] = True
+                ok &= some
+            at = np.flatnonzero(ok)
+            if len(at):
+                yield own, at
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches put together to about ``ROWS_AT_ONCE`` rows, so that each filter meets many rows at once."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += len(batch)
+        if n >= ROWS_AT_ONCE:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _one(column: pa.ChunkedArray) -> pa.Array:
+    return column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks)
+
+
+def _found_schema(base: DataFrame, units: DataFrame) -> tuple[str, pa.Schema]:
     kinds = dict(base.dtypes)["id"], dict(units.dtypes)["unit_id"]
-    wanted = units.select("unit_id", "sub", F.col("vector").cast("array<double>").alias("v"), F.posexplode(levels(F.col("hints"))).alias("level", "h")).filter((F.size("v") > 0) & F.exists("v", lambda x: x != 0))
-    wanted = wanted.select("unit_id", "sub", "level", "v", "h.*")
-    passes = max(1, -(-wanted.count() // S.QUERIES_PER_PASS))
+    arrow = [("unit_id", to_arrow_type(units.schema["unit_id"].dataType)), ("level", pa.int32()), ("sub", pa.int32()), ("id", to_arrow_type(base.schema["id"].dataType)), ("score", pa.float64())]
+    return f"unit_id {kinds[1]}, level int, sub int, id {kinds[0]}, score double", pa.schema(arrow)
+
+
+def _asked(units: DataFrame, level: int | None) -> DataFrame:
+    """``unit_id, sub, level`` and the filter's fields of each level of a query's filter, or of one level, with the query's own columns."""
+    each = units.withColumn("__levels", levels(F.col("hints"))).drop("hints")
+    if level is None:
+        each = each.select("*", F.posexplode("__levels").alias("level", "h"))
+    else:
+        each = each.filter(F.size("__levels") > level).select("*", F.lit(level).alias("level"), F.col("__levels")[level].alias("h"))
+    return each.select(*(c for c in units.columns if c != "hints"), "level", "h.*")
+
+
+def _passes(asked: DataFrame) -> Iterator[tuple[pa.Table, pd.DataFrame]]:
+    """Blocks of at most about ``QUERIES_AT_ONCE`` queries: all columns, and the keys and filter fields as a frame."""
+    passes = max(1, -(-asked.count() // QUERIES_AT_ONCE))
+    for p in range(passes):
+        block = asked if passes == 1 else asked.filter(F.pmod(F.xxhash64("unit_id", "sub", "level"), F.lit(passes)) == p)
+        got = block.orderBy("unit_id", "sub", "level").toArrow().combine_chunks()
+        yield got, got.select(["unit_id", "level", "sub", *FIELDS]).to_pandas()
+
+
+def _batch(own: pd.DataFrame, ids: pa.Array, score: np.ndarray, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*(pa.array(own[c], schema.field(c).type) for c in ("unit_id", "level", "sub")), ids.cast(schema.field("id").type), pa.array(score)], schema=schema)
+
+
+def _scaled(lists: pa.ListArray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The lists at these places, all of n numbers, scaled to length 1, and which of them are finite: only those are given."""
+    x = lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+    length = np.linalg.norm(x, axis=1)
+    good = np.isfinite(length)
+    return x[good] / length[good, None], good
+
+
+def dense_pool(base: DataFrame, units: DataFrame, k: int, level: int | None = None) -> DataFrame:
+    """``unit_id, level, sub, id, score``: the k most similar rows that fit, for each query and level of its filter, or one level. Exact."""
+    ddl, schema = _found_schema(base, units)
+    asked = _asked(units.select("unit_id", "sub", F.col("vector").cast("array<double>").alias("v"), "hints").filter((F.size("v") > 0) & F.exists("v", lambda x: x != 0)), level)
     rows = base.select("id", F.col("vector").cast("array<double>").alias("v"), *FIELDS).filter((F.size("v") > 0) & F.exists("v", lambda x: x != 0))
     out = None
-    for p in range(passes):
-        block = wanted.filter(F.pmod(F.xxhash64("unit_id", "sub", "level"), F.lit(passes)) == p).orderBy("unit_id", "sub", "level").toPandas()
-        dims = {n: (b.reset_index(drop=True), np.array(b["v"].tolist(), np.float64)) for n, b in block.groupby(block["v"].map(len))} if len(block) else {}
-
-        def search(batches: Iterator[pd.DataFrame], dims: dict = dims) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                sizes = batch["v"].map(len).to_numpy()
-                for n, (own, q) in dims.items():
-                    part = batch[sizes == n].reset_index(drop=True)
-                    if not len(part):
+    for block, keys in _passes(asked):
+        lists = _one(block["v"]) if len(block) else pa.array([], pa.list_(pa.float64()))
+        sizes = np.diff(lists.offsets.to_numpy())
+        dims = {}
+        for n in np.unique(sizes).tolist():
+            at = np.flatnonzero(sizes == n)
+            x, good = _scaled(lists, at, n)
+            own = keys.iloc[at[good]].reset_index(drop=True)
+            dims[n] = own[["unit_id", "level", "sub"]], _Filters(own), x
+
+        def search(batches: Iterator[pa.RecordBatch], dims: dict = dims) -> Iterator[pa.RecordBatch]:
+            for t in _runs(batches):
+                lists = _one(t["v"])
+                sizes = np.diff(lists.offsets.to_numpy())
+                for n, (own, filters, q) in dims.items():
+                    at = np.flatnonzero(sizes == n)
+                    if not len(at):
                         continue
-                    x = np.array(part["v"].tolist(), np.float64)
-                    score = np.round(q / np.linalg.norm(q, axis=1, keepdims=True) @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T, 6)
-                    score[~_mask(own, part) | ~np.isfinite(score)] = -np.inf
-                    r, c = S.best_cells(score, k)
-                    yield pd.DataFrame({"unit_id": own["unit_id"].to_numpy()[r], "level": own["level"].to_numpy()[r], "sub": own["sub"].to_numpy()[r], "id": part["id"].to_numpy()[c], "score": score[r, c]})
-
-        found = rows.mapInPandas(search, f"unit_id {kinds[1]}, level int, sub int, id {kinds[0]}, score double")
+                    x, good = _scaled(lists, at, n)
+                    near, part = x.astype(np.float32), t.take(pa.array(at[good]))
+                    ids, fields = _one(part["id"]), part.select(list(filters.fields)).to_pandas()
+                    for queries, fit in filters.fitting(fields):
+                        step, turned = max(1, CELLS_AT_ONCE // len(fit)), np.ascontiguousarray(near[fit].T)
+                        for lo in range(0, len(queries), step):
+                            some = queries[lo : lo + step]
+                            # A product of unit vectors in single precision is off by less than (n + 2) * 6e-8; what comes near is scored in double.
+                            exact = lambda r, c: np.einsum("ij,ij->i", q[some[r]], x[fit[c]])  # noqa: B023, E731
+                            r, c, v = S.best_rounded(q[some].astype(np.float32) @ turned, k, slack=2.4e-7 * (n + 2) + 1e-6, exact=exact)
+                            yield _batch(own.iloc[some[r]], ids.take(pa.array(fit[c])), v, schema)
+
+        listed = any(f.listed for _, f, _ in dims.values())
+        found = rows.select("id", "v", *(FIELDS if listed else _SCALARS)).mapInArrow(search, ddl)
         out = found if out is None else out.unionByName(found)
     return S.top(out, ["unit_id", "level", "sub"], [F.desc("score"), F.asc("id")], k).drop("rank")
 
 
-def sparse_pool(base: DataFrame, units: DataFrame, k: int) -> DataFrame:
-    """``unit_id, level, sub, id, score``: the same by the dot product of sparse vectors; scored once for all levels."""
-    kinds = dict(base.dtypes)["id"], dict(units.dtypes)["unit_id"]
-    wanted = units.select("unit_id", "sub", F.map_entries(F.col("sparse").cast("map<bigint,double>")).alias("s"), levels(F.col("hints")).alias("levels")).filter("s is not null")
-    passes = max(1, -(-wanted.count() // S.QUERIES_PER_PASS))
+def sparse_pool(base: DataFrame, units: DataFrame, k: int, level: int | None = None) -> DataFrame:
+    """``unit_id, level, sub, id, score``: the same by the dot product of sparse vectors."""
+    ddl, schema = _found_schema(base, units)
+    asked = _asked(units.select("unit_id", "sub", F.map_entries(F.col("sparse").cast("map<bigint,double>")).alias("s"), "hints").filter("s is not null"), level)
     rows = base.select("id", F.col("sparse").cast("map<bigint,double>").alias("s"), *FIELDS).filter("s is not null")
     out = None
-    for p in range(passes):
-        own = wanted.filter(F.pmod(F.xxhash64("unit_id", "sub"), F.lit(passes)) == p).orderBy("unit_id", "sub").collect()
-        queries = S.SparseQueries([{e["key"]: e["value"] for e in r["s"]} for r in own])
-        asked = pd.DataFrame([(i, r["unit_id"], level, r["sub"], *(h[f] for f in FIELDS)) for i, r in enumerate(own) for level, h in enumerate(r["levels"])], columns=["q", "unit_id", "level", "sub", *FIELDS])
-
-        def search(batches: Iterator[pa.RecordBatch], queries: S.SparseQueries = queries, asked: pd.DataFrame = asked) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                fields = batch.select(["id", *FIELDS]).to_pandas()
-                for lo, score in queries.scores(batch.column("s"), 1_000_000):
-                    part = fields.iloc[lo : lo + score.shape[1]].reset_index(drop=True)
-                    all_ = score[asked["q"].to_numpy()]
-                    all_[~_mask(asked, part)] = -np.inf
-                    r, c = S.best_cells(all_, k)
-                    got = asked.iloc[r]
-                    yield pa.RecordBatch.from_pandas(pd.DataFrame({"unit_id": got["unit_id"].to_numpy(), "level": got["level"].to_numpy(np.int32), "sub": got["sub"].to_numpy(np.int32), "id": part["id"].to_numpy()[c], "score": all_[r, c]}), out_schema, preserve_index=False)
-
-        out_schema = pa.schema([("unit_id", to_arrow_type(units.schema["unit_id"].dataType)), ("level", pa.int32()), ("sub", pa.int32()), ("id", to_arrow_type(base.schema["id"].dataType)), ("score", pa.float64())])
-        found = rows.mapInArrow(search, f"unit_id {kinds[1]}, level int, sub int, id {kinds[0]}, score double")
+    for block, keys in _passes(asked):
+        filters, own = _Filters(keys), keys[["unit_id", "level", "sub"]]
+        vectors = [{e["key"]: e["value"] for e in s} for s in block["s"].to_pylist()]
+
+        def search(batches: Iterator[pa.RecordBatch], filters: _Filters = filters, own: pd.DataFrame = own, vectors: list[dict] = vectors) -> Iterator[pa.RecordBatch]:
+            for t in _runs(batches):
+                maps = _one(t["s"])
+                offsets = maps.offsets.to_numpy()
+                keys, items = maps.keys.to_numpy(zero_copy_only=False), maps.items.to_numpy(zero_copy_only=False)
+                ids, fields = _one(t["id"]), t.select(list(filters.fields)).to_pandas()
+                for queries, fit in filters.fitting(fields):
+                    size = offsets[fit + 1] - offsets[fit]
+                    place = np.repeat(offsets[fit] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                    row = np.repeat(np.arange(len(fit)), size)
+                    step = max(1, CELLS_AT_ONCE // len(fit))
+                    for lo in range(0, len(queries), step):
+                        some = queries[lo : lo + step]
+                        score = S.SparseQueries([vectors[i] for i in some]).products(row, keys[place], items[place], len(fit))
+                        r, c, v = S.best_rounded(score, k)
+                        yield _batch(own.iloc[some[r]], ids.take(pa.array(fit[c])), v, schema)
+
+        found = rows.select("id", "s", *filters.fields).mapInArrow(search, ddl)
         out = found if out is None else out.unionByName(found)
     return S.top(out, ["unit_id", "level", "sub"], [F.desc("score"), F.asc("id")], k).drop("rank")
 
 
-def pool(base: DataFrame, units: DataFrame, k: int = 20, dense_times: int = 3, sparse_times: int = 2, dense_weight: float = 0.70, sparse_weight: float = 0.30, least: int = LEAST_ROWS) -> DataFrame:
-    """``unit_id, level, sub, id, score``: all hits of a unit's query set at the first level of its filter with ``least`` hits, else at the last.
-
-    Hits of several queries of the set are all in it. ``base``: id, vector, sparse and ``FIELDS``.
-    """
+def _fused(d: DataFrame, s: DataFrame, k: int, dense_weight: float, sparse_weight: float) -> DataFrame:
+    """``unit_id, level, sub, id, score``: the k best of both legs together, each scaled to 0..1 within its query."""
     by = ["unit_id", "level", "sub"]
-    d, s = dense_pool(base, units, dense_times * k), sparse_pool(base, units, sparse_times * k)
     both = d.withColumnRenamed("score", "dense_score").join(s.withColumnRenamed("score", "sparse_score"), [*by, "id"], "full_outer").fillna(0.0, ["dense_score", "sparse_score"])
     w = Window.partitionBy(*by)
 
@@ -187,12 +274,34 @@ def pool(base: DataFrame, units: DataFrame, k: int = 20, dense_times: int = 3, s
         return F.when(high == low, 0.0).otherwise((F.col(c) - low) / (high - low))
 
     both = both.withColumn("d", scaled("dense_score")).withColumn("s", scaled("sparse_score")).withColumn("score", F.round(dense_weight * F.col("d") + sparse_weight * F.col("s"), 8))
-    hits = S.top(both, by, [F.desc("score"), F.asc("id")], k).select(*by, "id", "score")
-    counts = hits.groupBy("unit_id", "level").agg(F.count("*").alias("n"))
-    last = units.select("unit_id", (F.size(levels(F.col("hints"))) - 1).alias("last")).distinct()
-    chosen = counts.filter(F.col("n") >= least).groupBy("unit_id").agg(F.min("level").alias("first"))
-    chosen = last.join(chosen, "unit_id", "left").select("unit_id", F.coalesce("first", "last").alias("level"))
-    return hits.join(chosen, ["unit_id", "level"])
+    return S.top(both, by, [F.desc("score"), F.asc("id")], k).select(*by, "id", "score")
+
+
+def pool(base: DataFrame, units: DataFrame, k: int = 20, dense_times: int = 3, sparse_times: int = 2, dense_weight: float = 0.70, sparse_weight: float = 0.30, least: int = LEAST_ROWS) -> DataFrame:
+    """``unit_id, level, sub, id, score``: all hits of a unit's query set at the first level of its filter with ``least`` hits, else at the last.
+
+    Hits of several queries of the set are all in it. ``base``: id, vector, sparse and ``FIELDS``.
+    A level is searched only for the units that the levels before it left with too few hits; rows
+    of one year and section are staged together, so that a filter's rows lie in few tasks.
+    """
+    base = base.select("id", "vector", "sparse", *FIELDS)
+    base = stage(base.repartitionByRange("doc_year", "section", "source_file", F.xxhash64("id")), "pool-rows")
+    left = stage(units.select("unit_id", "sub", "vector", "sparse", "hints"), "pool-units")
+    out = None
+    for level in range(LEVELS):
+        hits = _fused(dense_pool(base, left, dense_times * k, level), sparse_pool(base, left, sparse_times * k, level), k, dense_weight, sparse_weight)
+        hits = stage(hits, "pool-hits")
+        enough = hits.groupBy("unit_id").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("unit_id")
+        more = left.filter(F.size(levels(F.col("hints"))) > level + 1).join(enough, "unit_id", "left_anti")
+        # The last level of its filter counts for a unit however few its hits are.
+        done = hits if level + 1 == LEVELS else hits.join(more.select("unit_id").distinct(), "unit_id", "left_anti")
+        out = done if out is None else out.unionByName(done)
+        if level + 1 == LEVELS:
+            break
+        left = stage(more, "pool-units")
+        if left.isEmpty():
+            break
+    return out.select("unit_id", "level", "sub", "id", "score")
 
 
 def hit_counts(pooled: DataFrame) -> DataFrame:

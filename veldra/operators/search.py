@@ -113,17 +113,25 @@ class SparseQueries:
             hi = min(lo + step, len(maps))
             own = slice(offsets[lo], offsets[hi])
             row = np.repeat(np.arange(hi - lo), np.diff(offsets[lo : hi + 1]))
-            at = np.searchsorted(self.terms, keys[own])
-            at[at == len(self.terms)] = 0
-            good = self.terms[at] == keys[own] if len(self.terms) else np.zeros(len(at), bool)
-            row, at, w = row[good], at[good], items[own][good]
-            count = self.begin[at + 1] - self.begin[at]
-            posting = np.repeat(self.begin[at] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-            cell = self.query[posting] * (hi - lo) + np.repeat(row, count)
-            total = np.bincount(cell, self.weight[posting] * np.repeat(w, count), self.n * (hi - lo))
-            met = np.zeros(self.n * (hi - lo), bool)
+            yield lo, np.round(self.products(row, keys[own], items[own], hi - lo), 6)
+
+    def products(self, row: np.ndarray, keys: np.ndarray, items: np.ndarray, n: int) -> np.ndarray:
+        """Dot products of the queries by row with n rows given as (row, term, weight); -inf without a common term."""
+        at = np.searchsorted(self.terms, keys)
+        at[at == len(self.terms)] = 0
+        good = self.terms[at] == keys if len(self.terms) else np.zeros(len(at), bool)
+        row, at, w = row[good], at[good], items[good]
+        count = self.begin[at + 1] - self.begin[at]
+        posting = np.repeat(self.begin[at] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        cell = self.query[posting] * n + np.repeat(row, count)
+        total = np.bincount(cell, self.weight[posting] * np.repeat(w, count), self.n * n).astype(np.float64, copy=False)  # whole numbers if empty
+        if (self.weight > 0).all() and (w > 0).all():
+            total[total == 0] = -np.inf
+        else:
+            met = np.zeros(self.n * n, bool)
             met[cell] = True
-            yield lo, np.where(met, np.round(total, 6), -np.inf).reshape(self.n, hi - lo)
+            total[~met] = -np.inf
+        return total.reshape(self.n, n)
 
 
 def best_cells(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -135,6 +143,32 @@ def best_cells(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero((score >= least[:, None]) & np.isfinite(score))
 
 
+def best_rounded(score: np.ndarray, k: int, width: int = 16, slack: float = 1e-6, exact: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score in 6 decimals) of the same cells by the rounded scores; only what may be among them is rounded and sorted.
+
+    The k-th highest of the maxima of runs of rows is no higher than the k-th highest score.
+    ``exact`` gives the scores of cells where ``score`` is only within half of ``slack`` of them.
+    """
+    n = score.shape[1]
+    if n >= 2 * k * width:
+        whole = n // width * width
+        top = score[:, :whole].reshape(len(score), -1, width).max(axis=2)
+        low = np.partition(top, top.shape[1] - k, axis=1)[:, top.shape[1] - k] - slack
+        r, c = np.nonzero(score >= np.maximum(low, np.finfo(score.dtype).min)[:, None])
+    else:
+        r, c = np.nonzero(np.isfinite(score))
+    v = np.round(score[r, c] if exact is None else exact(r, c), 6)
+    order = np.lexsort((-v, r))
+    r, c, v = r[order], c[order], v[order]
+    begin = np.searchsorted(r, np.arange(len(score) + 1))
+    kth = np.minimum(begin[:-1] + k, begin[1:]) - 1
+    least = np.full(len(score), np.inf)
+    some = begin[1:] > begin[:-1]
+    least[some] = v[kth[some]]
+    good = v >= least[r]
+    return r[good], c[good], v[good]
+
+
 def sparse_topk(base: DataFrame, queries: DataFrame, k: int, id_col: str = "id", sparse_col: str = "sparse", query_col: str = "query_id") -> DataFrame:
     """``query_id, id, score, rank``: the k rows with the highest dot product of sparse vectors.
 
