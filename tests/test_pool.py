@@ -1,6 +1,8 @@
 """The pool of many questions: searched level by level, right for any size of blocks."""
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from veldra.operators import asking as A, search as S
@@ -86,3 +88,51 @@ def test_best_rounded_keeps_ties_and_all_of_the_best():
         r, c, v = S.best_rounded(score, k)
         want = {(i, j) for i, row in enumerate(np.round(score, 6)) for j in np.flatnonzero(np.isfinite(row)) if (row > row[j]).sum() < k}
         assert set(zip(r.tolist(), c.tolist())) == want and (v == np.round(score, 6)[r, c]).all()
+
+
+def test_searches_of_a_task_equal_plain_loops(monkeypatch):
+    """Rare and common terms, few and many rows that fit, thresholds that rise over many tiles and runs."""
+    monkeypatch.setattr(A, "CELLS_AT_ONCE", 640)
+    rng = np.random.default_rng(3)
+    vectors = lambda n: [None if i % 11 == 5 else rng.standard_normal(6 if i % 7 else 4).tolist() for i in range(n)]
+    maps = lambda n, least: [[(int(t), float(rng.uniform(least, 2))) for t in np.unique(np.minimum(rng.geometric(0.2, 3), 20) if i % 5 else 30 + rng.integers(40, size=1))] for i in range(n)]
+    for signed in (0.1, -1.0):
+        rows = pa.table({"vector": pa.array(vectors(500), pa.list_(pa.float64())), "sparse": pa.array(maps(500, signed), pa.map_(pa.int64(), pa.float64()))})
+        own = [(None, 0), ("a", 0), ("b", 0)]
+        block = pa.table({"v": pa.array([v or [1.0] * 4 for v in vectors(40)], pa.list_(pa.float64())), "s": pa.array(maps(40, signed), pa.map_(pa.int64(), pa.float64()))})
+        fields = pd.DataFrame({f: [own[i % 3][0] if f == "doc_year" else None for i in range(40)] for f in A.FIELDS})
+        year = np.array(["a" if i % 3 else "b" for i in range(500)])
+        filters, k = A._Filters(fields), 7
+        for leg, column, name in ((A._Dense, "v", "vector"), (A._Sparse, "s", "sparse")):
+            search = leg(block, filters, k)
+            for first in (0, 200):
+                part = rows.slice(first, 200 if not first else 300).combine_chunks()
+                search.load(part, first)
+                for number, fit in filters.fitting(pd.DataFrame({"doc_year": year[first : first + len(part)], "section": None, "source_file": None})):
+                    search.search(number, fit)
+            got = {(int(at[q]), int(r), float(v)) for blocks in search.blocks.values() for at, *_, best in blocks for q, r, v in zip(*best.all())}
+            want = set()
+            for i, q in enumerate(block[column].to_pylist()):
+                scores = []
+                for r, x in enumerate(rows[name].to_pylist()):
+                    if fields["doc_year"][i] not in (None, year[r]) or x is None:
+                        continue
+                    if leg is A._Dense and len(x) == len(q):
+                        scores.append((round(float(np.dot(q, x) / np.linalg.norm(q) / np.linalg.norm(x)), 6), r))
+                    elif leg is A._Sparse and dict(q).keys() & dict(x).keys():
+                        scores.append((round(sum(w * dict(q)[t] for t, w in x if t in dict(q)), 6), r))
+                least = sorted((s for s, _ in scores), reverse=True)[: k][-1:] or [0]
+                want |= {(i, r, s) for s, r in scores if s >= least[0]}
+            assert {x[:2] for x in got} == {x[:2] for x in want}
+            assert max(abs(a[2] - b[2]) for a, b in zip(sorted(got), sorted(want))) < 2e-6
+
+
+def test_all_rows_of_a_query_are_met_in_one_task(spark):
+    """What a search finds is final: no candidates are sent between tasks, one row for each query and place."""
+    _, _, b, u = tables(spark)
+    rows = A.Rows(b)
+    for leg in (A.dense_pool, A.sparse_pool):
+        found = leg(rows, u, 5, 0)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and "MapInArrow" in plan
+        assert found.groupBy("unit_id", "level", "sub").count().filter("count > 5").isEmpty()

@@ -155,6 +155,9 @@ def best_rounded(score: np.ndarray, k: int, width: int = 16, slack: float = 1e-6
         top = score[:, :whole].reshape(len(score), -1, width).max(axis=2)
         low = np.partition(top, top.shape[1] - k, axis=1)[:, top.shape[1] - k] - slack
         r, c = np.nonzero(score >= np.maximum(low, np.finfo(score.dtype).min)[:, None])
+    elif n > 2 * k:
+        low = np.partition(score, n - k, axis=1)[:, n - k] - slack
+        r, c = np.nonzero(score >= np.maximum(low, np.finfo(score.dtype).min)[:, None])
     else:
         r, c = np.nonzero(np.isfinite(score))
     v = np.round(score[r, c] if exact is None else exact(r, c), 6)
