@@ -20,9 +20,15 @@ LEAST, K, BUDGET, SLOTS = 0.30, 10, 1500, 10
 _CHUNK = ("source_file", "chunk_index", "text", "section", "page_no", "page_label", "is_table", "chunk_year", "doc_year", "doc_id", "summary")
 
 
+def word_list(text: Column) -> Column:
+    """The words of a question or text that count, each once, between blanks: read once, not for each pair."""
+    return F.array_join(F.array_distinct(T.answer_tokens(F.coalesce(text, F.lit("")))), " ")
+
+
 def lexical_logit(question: Column, text: Column) -> Column:
-    """The default score of a pair: how many of the question's words are in the text."""
-    return 10 * T.overlap(T.answer_tokens(F.coalesce(question, F.lit(""))), T.answer_tokens(F.coalesce(text, F.lit("")))) - 5
+    """The default score of a pair of ``word_list``s: how many of the question's words are in the text; a null has none."""
+    some, words = (F.length(question) > 0) & (F.length(text) > 0), F.split(question, " ")
+    return F.when(some, 10 * (F.size(F.array_intersect(words, F.split(text, " "))) / F.size(words)) - 5).otherwise(-5.0)
 
 
 def ranked(base: DataFrame, units: DataFrame, questions: DataFrame, chunks: DataFrame, scope: str = "single", graph: DataFrame | None = None, scorer: Callable[[list[str], list[str]], list[float]] | None = None, k: int = 20) -> DataFrame:
@@ -36,9 +42,13 @@ def ranked(base: DataFrame, units: DataFrame, questions: DataFrame, chunks: Data
     else:
         found = found.withColumn("graph_score", F.lit(0.0))
     hints = units.filter("sub = 0").select("unit_id", "hints").dropDuplicates(["unit_id"])
-    c = chunks.select(F.col("chunk_id").alias("id"), *_CHUNK)
-    h = found.join(c, "id").join(questions.select("unit_id", "question"), "unit_id", "left").join(hints, "unit_id", "left")
-    logit = lexical_logit(F.col("question"), F.col("text")) if scorer is None else score_column(F.col("question"), F.col("text"), scorer)
+    c, asked = chunks.select(F.col("chunk_id").alias("id"), *_CHUNK), questions.select("unit_id", "question")
+    if scorer is None:
+        asked = asked.select("unit_id", word_list(F.col("question")).alias("question"))
+        c = c.join(found.select("id").distinct(), "id", "left_semi").withColumn("__words", word_list(F.col("text")))
+    # The texts come last: only what is small is sent by question.
+    h = found.join(asked, "unit_id", "left").join(hints, "unit_id", "left").join(c, "id")
+    logit = lexical_logit(F.col("question"), F.col("__words")) if scorer is None else score_column(F.col("question"), F.col("text"), scorer)
     h = h.withColumn("rerank", F.coalesce(F.round(R.sigmoid(logit), 6), F.col("score")))
     low = F.lower(F.coalesce("text", F.lit("")))
     words, names = F.col("hints.keywords"), F.col("hints.filename_tokens")
@@ -47,7 +57,7 @@ def ranked(base: DataFrame, units: DataFrame, questions: DataFrame, chunks: Data
         F.exists(names, lambda t: F.contains(F.lower("source_file"), F.lower(t))), F.col("hits"), F.col("graph_score"), scope,
     )
     named = F.when(words.isNull(), 0.0).when(F.exists(words, lambda w: F.contains(low, F.lower(w))), R.BOOSTS["keyword"]).otherwise(R.BOOSTS["entity_penalty"] if scope in ("single", "few") else 0.0)
-    return h.withColumn("boosted", F.round(F.col("rerank") + amount + named, 8)).drop("question", "hints", "level")
+    return h.withColumn("boosted", F.round(F.col("rerank") + amount + named, 8)).drop("question", "hints", "level", "__words")
 
 
 def with_neighbours(hits: DataFrame, chunks: DataFrame) -> DataFrame:
