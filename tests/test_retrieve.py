@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from veldra.functions import text as T
 from veldra.operators import asking as A
-from veldra.plans import retrieve as plans
+from veldra.plans import answer as W, retrieve as plans
 
 VECTOR = "id string, vector array<double>, sparse map<int,double>, doc_year string, section string, source_file string, keywords array<string>, filename_tokens array<string>"
 
@@ -32,3 +32,10 @@ def test_scores_of_pairs_are_those_of_their_words(spark):
     got = pairs.select(plain.alias("x"), plans.lexical_logit(plans.word_list(F.col("a")), plans.word_list(F.col("b"))).alias("y")).collect()
     assert all(r.x == r.y for r in got) and len({r.x for r in got}) > 2
     assert spark.range(1).select(plans.lexical_logit(F.lit(None).cast("string"), F.lit("x"))).first()[0] == -5
+
+
+def test_ask_ranks_once(spark):
+    base, units, questions, chunks = inputs(spark)
+    answers = W.ask(base, units, questions, chunks)
+    assert "exp(" not in answers._jdf.queryExecution().optimizedPlan().toString().lower()  # the sigmoid of the ranking
+    assert {r.unit_id for r in answers.collect()} == {f"u{i}" for i in range(5)}

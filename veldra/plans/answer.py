@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from veldra.functions import text as T
 from veldra.operators import asking as A, prompts as P, ranking as R, state as S
 from veldra.plans import retrieve as plans
+from veldra.storage import stage
 
 
 @dataclass(frozen=True)
@@ -86,7 +87,8 @@ def ask(base: DataFrame, units: DataFrame, questions: DataFrame, chunks: DataFra
     Without a model, or where it fails, the answer is made of the first chunks.
     """
     r = plans.ranked(base, units, questions, chunks, "single", k=settings.search)
-    capped = R.threshold_cap(r, "boosted", settings.threshold, settings.capped, "unit_id")
+    # Read for the context, the extract and the strength: staged, so that it is searched and ranked once.
+    capped = stage(R.threshold_cap(r, "boosted", settings.threshold, settings.capped, "unit_id"), "capped")
     context = plans.with_missing(plans.assemble(capped, settings.budget), questions)
     j = context.join(questions.select("unit_id", "question"), "unit_id").join(extractive_answer(capped).withColumnRenamed("answer", "extract"), "unit_id", "left")
     j = j.join(capped.filter("place <= 3").groupBy("unit_id").agg(F.avg("boosted").alias("strength"), F.array_sort(F.collect_list("id")).alias("ids")), "unit_id", "left")
